@@ -22,7 +22,10 @@ from .common import pieces, read, texts_of
 #: The fit takes so many labelled documents for each language, at most, in hash order; and so many
 #: characters of each. A dictionary has so many bytes at most. Labels beyond the commonest LANGUAGES are left out.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY, LANGUAGES = 400, 2_000, 112 << 10, 200
-LEVEL = 3
+LEVEL = 6
+#: A text is compressed in blocks of so many bytes, each with the dictionary: in one long block the text's own
+#: past would stand in for the dictionary after a while.
+BLOCK = 1 << 10
 #: Bits per byte that a margin must have to be accepted.
 MARGIN = 0.02
 
@@ -44,14 +47,22 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     first = Window.partitionBy(lang).orderBy("h", "t")
     rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS)
     rows = rows.groupBy(lang).agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("n", "t"))), lambda x: x["t"])).alias("texts"))
-    return {r[lang]: "\n".join(r["texts"]).encode()[-DICTIONARY:] for r in rows.orderBy(lang).collect()}
+    plain = {r[lang]: " ".join(letters_of(pa.array(r["texts"], pa.string())).to_pylist()) for r in rows.collect()}
+    # The commonest language first: it wins ties.
+    return {r[lang]: plain[r[lang]].encode()[-DICTIONARY:] for r in counts if plain.get(r[lang], "").strip()}
+
+
+def letters_of(texts: pa.Array) -> pa.Array:
+    """Lower-cased texts with one space for each run of other characters than letters."""
+    return pc.utf8_lower(pc.replace_substring_regex(texts, r"[^\p{L}]+", " "))
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN) -> DataFrame:
     """docs without the text, with lang_pred, score and accepted.
 
     `und`, score 0 and not accepted for null texts, texts without a letter, and when no language was learned.
-    Otherwise the language with the smallest output (ties go to the first by code point); score is from 0 to 1,
+    Otherwise the language with the smallest output (ties go to the first in `dictionaries`, which `fit` orders by
+    the number of labelled documents); score is from 0 to 1,
     0.5 for a tie, and accepted says whether the margin is wide enough. Whole texts are compressed, however
     long. Equal texts get equal results. Columns of docs with one of the three names are replaced.
     """
@@ -72,13 +83,16 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             texts = texts_of(piece, text)
             letters = pc.match_substring_regex(texts, r"\p{L}").to_pylist()
             pred, score, sure = [], [], []
-            for t, letter in zip(texts.cast(pa.binary()).to_pylist(), letters, strict=True):
+            plain = letters_of(texts).cast(pa.binary()).to_pylist()
+            for t, letter in zip(plain, letters, strict=True):
                 if not letter or not packers:
                     pred.append("und")
                     score.append(0.0)
                     sure.append(False)
                     continue
-                size = [len(p.compress(t)) for p in packers]
+                t = b" " + t.strip() + b" "
+                blocks = [t[i : i + BLOCK] for i in range(0, len(t), BLOCK)]
+                size = [sum(len(p.compress(b)) for b in blocks) for p in packers]
                 order = np.argsort(size, kind="stable")
                 gap = (size[order[1]] - size[order[0]]) * 8 if len(size) > 1 else 8 * len(t)
                 pred.append(names[order[0]])
