@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, mixing, secrets, tokens, url_filter
+from . import decontaminate, language, mixing, secrets, tokens, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op4_mixing": mixing.op4_mixing,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_secret_scans": secrets.op6_secret_scans,
     "op8_token_counts": tokens.op8_token_counts,
     "op10_language_id": language.op10_language_id,
