@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, secrets, tokens, url_filter
+from . import decontaminate, language, mixing, quality_rules, secrets, tokens, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_mixing": mixing.op4_mixing,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_secret_scans": secrets.op6_secret_scans,
