@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, quality_rules, secrets, tokens, url_filter
+from . import decontaminate, language, mixing, quality_rules, secrets, substring_dedup, tokens, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_secret_scans": secrets.op6_secret_scans,
     "op8_token_counts": tokens.op8_token_counts,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_language_id": language.op10_language_id,
 }
 
