@@ -17,16 +17,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import hash_strings, mix, pieces, read, run_starts, split_words, texts_of, word_ids
 from .fm_index import MOST, FMIndex
 
 WINDOW, ANCHOR = 13, 3
 #: Bytes of text of a shard, about; segments repeat words about three times.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 12 << 20
 #: Words of one index; a larger shard is indexed in parts that hold whole anchors.
 INDEX_WORDS = MOST // 4
+#: Bytes of text that one task cuts into segments at a time.
+PIECE_BYTES = 4 << 20
 #: What documents are told directly goes by this many further groups.
 DIRECT = 4096
 
@@ -34,10 +36,10 @@ SENT = "shard long, docs binary, marks binary, starts binary, sizes binary, tags
 TOLD = "_doc long, _mark int, starts array<int>, ends array<int>"
 
 
-def _pack(x: np.ndarray) -> bytes:
+def _pack(x: np.ndarray, level: int = 3) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(x).tobytes())
 
 
 def _unpack(x: bytes, kind) -> np.ndarray:
@@ -86,7 +88,7 @@ def sender(shards: int):
     """A map over (_doc, _mark, text): segments for the shards, and what is known to repeat inside a piece."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "_text"):
+        for piece in pieces(batches, "_text", PIECE_BYTES):
             texts = texts_of(piece, "_text")
             words, counts = split_words(texts)
             ids, distinct = word_ids(words)
@@ -123,7 +125,7 @@ def sender(shards: int):
             for x, y in zip(edge[:-1], edge[1:], strict=True):
                 k = kept[x:y]
                 doc = docs[row[k]]
-                fields = (int(shard[x]), _pack(np.diff(doc, prepend=0)), _pack(marks[row[k]]), _pack((first[k] - at[row[k]]).astype(np.int32)), _pack((end[k] - first[k]).astype(np.uint16)), np.ascontiguousarray(tag[x:y]).tobytes(), _pack(np.frombuffer(b"\n".join(text[z] for z in by[x:y]), np.uint8)))
+                fields = (int(shard[x]), _pack(np.diff(doc, prepend=0)), _pack(marks[row[k]]), _pack((first[k] - at[row[k]]).astype(np.int32)), _pack((end[k] - first[k]).astype(np.uint16)), np.ascontiguousarray(tag[x:y]).tobytes(), _pack(np.frombuffer(b"\n".join(text[z] for z in by[x:y]), np.uint8), 9))
                 for o, f in zip(out, fields, strict=True):
                     o.append(f)
             yield _rows(*out)
@@ -296,25 +298,53 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     # Null keys are spread by their text; they meet no ranges.
     spread = F.coalesce(F.col(key).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(1)))
     rows = docs.select(*rest, spread.alias("_key"), F.col(key).isNotNull().alias("_known"), _mark(text).alias("_own"))
+    small = StructType([x for x in rows.schema if x.name != text] + [StructField("_packed", BinaryType())])
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for piece in pieces(batches, text, PIECE_BYTES):
+            packed = [pack.compress(t) for t in texts_of(piece, text).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_pydict({c.name: piece.column(c.name) for c in small if c.name != "_packed"} | {"_packed": pa.array(packed, pa.binary())})
+
+    # Texts travel to their ranges compressed.
+    rows = rows.mapInArrow(shrink, small)
     rows = rows.join(found, (F.col("_key") == F.col("_doc")) & F.col("_known"), "left").drop("_key", "_known", "_doc")
     schema = StructType([docs.schema[c] for c in rest] + [StructField("n_words", LongType()), StructField("n_removed", LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, text):
-            words, counts = split_words(texts_of(piece, text))
-            at = run_starts(counts)
-            gone = np.zeros(len(words) + 1, np.int32)
-            own = piece.column("_own").to_pylist()
-            for i, found in enumerate(piece.column("_found").to_pylist()):
-                for r in found or ():
-                    if r["_mark"] == own[i]:
-                        np.add.at(gone, at[i] + np.array(r["starts"]), 1)
-                        np.add.at(gone, at[i] + np.array(r["ends"]), -1)
-            keep = np.cumsum(gone)[:-1] == 0
-            sums = np.concatenate(([0], np.cumsum(keep)))[at]
-            lists = pa.ListArray.from_arrays(pa.array(sums.astype(np.int32)), words.filter(pa.array(keep)))
-            held = {c: piece.column(c) for c in rest} | {text: pc.binary_join(lists, " ")}
-            yield pa.RecordBatch.from_pydict(held | {"n_words": pa.array(counts), "n_removed": pa.array(counts - np.diff(sums))})
+        for batch in batches:
+            yield from map(cut_piece, parts(batch))
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        held, size, at = [], 0, 0
+        for i, t in enumerate(batch.column("_packed").to_pylist()):
+            held.append(unpack.decompress(t))
+            size += len(held[-1])
+            if size > PIECE_BYTES or i == batch.num_rows - 1:
+                rows = batch.slice(at, len(held))
+                yield pa.RecordBatch.from_pydict({c: rows.column(c) for c in rows.schema.names if c != "_packed"} | {text: pa.array(held, pa.binary()).cast(pa.string())})
+                held, size, at = [], 0, i + 1
+
+    def cut_piece(piece: pa.RecordBatch) -> pa.RecordBatch:
+        words, counts = split_words(texts_of(piece, text))
+        at = run_starts(counts)
+        gone = np.zeros(len(words) + 1, np.int32)
+        own = piece.column("_own").to_pylist()
+        for i, found in enumerate(piece.column("_found").to_pylist()):
+            for r in found or ():
+                if r["_mark"] == own[i]:
+                    np.add.at(gone, at[i] + np.array(r["starts"]), 1)
+                    np.add.at(gone, at[i] + np.array(r["ends"]), -1)
+        keep = np.cumsum(gone)[:-1] == 0
+        sums = np.concatenate(([0], np.cumsum(keep)))[at]
+        lists = pa.ListArray.from_arrays(pa.array(sums.astype(np.int32)), words.filter(pa.array(keep)))
+        held = {c: piece.column(c) for c in rest} | {text: pc.binary_join(lists, " ")}
+        return pa.RecordBatch.from_pydict(held | {"n_words": pa.array(counts), "n_removed": pa.array(counts - np.diff(sums))})
 
     return rows.mapInArrow(cut, schema)
 
