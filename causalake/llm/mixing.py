@@ -100,7 +100,8 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epoch
     rows = rows.select(*docs.columns, "_size", "_mine", F.explode(F.sequence(F.lit(0), times - 1)).alias("epoch"))
     taken = F.least(F.col("_size"), F.col("_mine") - F.col("epoch") * F.col("_size"))
     rows = rows.withColumn("taken", taken)
-    first = F.expr(r"regexp_extract(text, concat('(?s)^([\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){', cast(taken as string), '})'), 1)")
+    parts = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    first = F.array_join(F.slice(parts, F.lit(1), F.col("taken").cast("int")), "")
     rows = rows.withColumn("text", F.when(F.col("taken") < F.col("_size"), first).otherwise(F.col("text")))
     return rows.select(*docs.columns, F.col("epoch"), F.col("taken"))
 
