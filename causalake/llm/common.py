@@ -142,3 +142,14 @@ def run_starts(counts: np.ndarray) -> np.ndarray:
 def code_point(column: str):
     """A sort key by code point with null last; binary order of UTF-8 is that order."""
     return F.col(column).cast("binary").asc_nulls_last()
+
+
+def guarded(docs: DataFrame, keep: tuple[str, ...], run, extra: tuple[str, ...] = ()) -> DataFrame:
+    """run(docs) with all columns but `keep` under neutral names, so that none clashes with the operator's own.
+
+    Gives the columns of docs back under their names, then `extra`, which replace columns of docs of that name.
+    """
+    names = [c for c in docs.columns if c not in extra]
+    under = {c: c if c in keep else f"column_{i}" for i, c in enumerate(names)}
+    out = run(docs.select(*(F.col(f"`{c}`").alias(a) for c, a in under.items())))
+    return out.select(*(F.col(a).alias(c) for c, a in under.items()), *extra)

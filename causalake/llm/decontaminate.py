@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .common import pieces, read, run_starts, split_words, texts_of
+from .common import guarded, pieces, read, run_starts, split_words, texts_of
 from .fm_index import MOST, FMIndex
 
 #: Words of a window; a longer benchmark is searched in blocks of about so many bytes.
@@ -192,7 +192,11 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
-    """docs without contaminated rows; in the others, what windows cover is cut from the text."""
+    """docs without contaminated rows; in the others, what windows cover is cut from the text. Any column names."""
+    return guarded(docs, (text,), lambda d: _decontaminated(d, bench, text))
+
+
+def _decontaminated(docs: DataFrame, bench: DataFrame, text: str) -> DataFrame:
     rows = benchmark_hits(docs, bench, text=text).where(~F.col("contaminated")).select(*docs.columns, "hits")
     rest = docs.columns
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, code_point, read, written
+from .common import WORD, code_point, guarded, read, written
 
 #: Weights of the sources by code point, repeating; share of all words that the mix has; epochs at most.
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
@@ -87,7 +87,10 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epoch
     A document on its source's cut is taken in part: the text of its last row ends after the words taken.
     Documents of which no word is taken (empty ones too) are not in the mix.
     """
-    docs = docs.drop("epoch", "taken")
+    return guarded(docs, ("doc_id", "text", "source"), lambda d: _mixed(d, weights, share, epochs), ("epoch", "taken"))
+
+
+def _mixed(docs: DataFrame, weights: tuple, share: float, epochs: int) -> DataFrame:
     n = mix_sizes(docs, weights, share, epochs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).where("_taken > 0")
     n = n.groupBy("_id", "_source", "_tie", "_size").agg(F.sort_array(F.collect_list("_taken"), asc=False).alias("_all"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import hash_strings, mix, pieces, read, run_starts, split_words, texts_of, word_ids
+from .common import guarded, hash_strings, mix, pieces, read, run_starts, split_words, texts_of, word_ids
 from .fm_index import MOST, FMIndex
 
 WINDOW, ANCHOR = 13, 3
@@ -291,9 +291,13 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     A word goes if a window of 13 words that covers it also starts in a row with a smaller key; all windows
     are judged on the input. Null texts have no words and give an empty text, as do empty ones; texts of fewer
     than 13 words stay. Rows with a null key lose nothing and take nothing from others. Rows with the same key are
-    judged apart and never against each other. Columns named n_words or n_removed are replaced.
+    judged apart and never against each other. Columns named n_words or n_removed are replaced; others may have any name.
     """
-    rest = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    return guarded(docs, (key, text), lambda d: _deduplicated(d, key, text), ("n_words", "n_removed"))
+
+
+def _deduplicated(docs: DataFrame, key: str, text: str) -> DataFrame:
+    rest = docs.columns
     found = repeated_ranges(docs, key, text).groupBy("_doc").agg(F.collect_list(F.struct("_mark", "starts", "ends")).alias("_found"))
     # Null keys are spread by their text; they meet no ranges.
     spread = F.coalesce(F.col(key).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(1)))

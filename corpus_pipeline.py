@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causalake.llm import decontaminate, mixing, near_dedup, quality_rules, secrets
-from causalake.llm.common import read, ship, written
+from causalake.llm.common import guarded, read, ship, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark in the text, and n_chars follows; every document stays."""
     ship(spark)
-    return _counted(secrets.secret_spans(docs, redacted="text").drop("secret_spans"), docs)
+    return _counted(guarded(docs, ("text",), lambda d: secrets.secret_spans(d, redacted="text")), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
