@@ -441,3 +441,65 @@ def _(spark, sf):
     names = p.select(F.col("p_name").alias("name")).distinct()
     truth = p.where("p_size < 5").select(F.split("p_name", " ")[0].alias("name")).distinct()
     return V.token_matches(names.withColumn("_n", F.translate("name", " ", "-")), truth, "_n").select("name")
+
+
+@query("ranked_targets")
+def _(spark, sf):
+    from .discovery import disease_graphs, ranked_targets
+
+    nodes, edges = disease_graphs(P.assoc(spark, sf), P.interactions(spark, sf), 12)
+    return ranked_targets(nodes, edges, 5, 2)
+
+
+@query("disease_classes", "SELECT n_name AS disease, CASE WHEN n_nationkey % 5 = 0 THEN 'infectious_viral' WHEN n_nationkey % 5 = 1 THEN 'infectious_parasitic' WHEN n_nationkey % 5 = 2 THEN 'cancer' ELSE 'other' END AS class FROM nation")
+def _(spark, sf):
+    from ..operators.biology import disease_class
+
+    n = P.table(spark, sf, "nation")
+    k = F.col("n_nationkey") % 5
+    name = F.when(k == 0, " HIV/AIDS").when(k == 1, "cerebral Malaria").when(k == 2, "Lung carcinoma").otherwise("gout")
+    return n.select(F.col("n_name").alias("disease"), disease_class(name).alias("class"))
+
+
+@query("target_classes", "SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN 'host_symptom' WHEN p_partkey % 6 = 1 THEN 'host_immune' WHEN p_partkey % 6 = 2 THEN 'host_symptom' WHEN p_partkey % 6 = 3 THEN 'host_invasion' WHEN p_partkey % 6 = 4 THEN 'correlational' ELSE 'host_invasion' END AS target_type FROM part")
+def _(spark, sf):
+    from ..operators.biology import classified_targets
+
+    k = F.col("p_partkey") % 6
+    gene = F.when(k == 0, "Drd2").when(k == 1, "TLR4").when(k == 2, "IL6").when(k == 3, "CCR5").when(k == 4, "XYZ1").otherwise("XYZ2")
+    genes = P.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), gene.alias("gene"), F.lit("infectious_viral").alias("disease_class"), (k != 4).alias("supported"))
+    markers, invasion = spark.sql("SELECT 'DRD2' AS gene, 'dopamine_receptors' AS family"), spark.sql("SELECT 'CCR5' AS gene")
+    return classified_targets(genes, markers, invasion).select("id", "target_type")
+
+
+@query("tissue_gate", "WITH e AS (SELECT DISTINCT 'G' || (l_partkey % 50)::VARCHAR AS gene, l_returnflag AS t FROM lineitem WHERE l_quantity > 49), g AS (SELECT DISTINCT 'G' || (p_partkey % 60)::VARCHAR AS gene FROM part), c AS (SELECT gene, count(*) AS n, count_if(t = 'A') AS k FROM e GROUP BY 1) SELECT gene, n IS NULL OR k > 0 AS tissue_relevant, CASE WHEN n IS NULL THEN 0.0 ELSE round(k / n, 4) END::DOUBLE AS coverage FROM g LEFT JOIN c USING (gene)")
+def _(spark, sf):
+    from ..operators.biology import tissue_gate
+
+    e = P.table(spark, sf, "lineitem").where("l_quantity > 49").select(F.concat(F.lit("G"), (F.col("l_partkey") % 50).cast("string")).alias("gene"), F.col("l_returnflag").alias("tissue"))
+    g = P.table(spark, sf, "part").select(F.concat(F.lit("G"), (F.col("p_partkey") % 60).cast("string")).alias("gene"), F.lit("d").alias("disease_id")).distinct()
+    return tissue_gate(g, e, spark.sql("SELECT 'd' AS disease_id, 'alpha' AS tissue"), spark.sql("SELECT 'A' AS tissue, 'Alpha' AS canonical")).select("gene", "tissue_relevant", "coverage")
+
+
+@query("binding_boxes", "SELECT label AS id, round(avg(embedding[1]), 4) AS center_x, round(max(embedding[1])::DOUBLE - min(embedding[1])::DOUBLE + 10, 4) AS size_x FROM embeddings GROUP BY 1")
+def _(spark, sf):
+    from ..operators.structures import bounding_box
+
+    e = P.table(spark, sf, "embeddings").select(F.col("label").alias("id"), *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")))
+    return bounding_box(e, "id").select("id", "center_x", "size_x")
+
+
+@query("structure_comparison")
+def _(spark, sf):
+    from ..operators import structures as ST
+
+    e = P.table(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("structure_id"), F.col("vec_id").alias("position"), *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")))
+    turned = e.select("structure_id", "position", F.col("y").alias("x"), (-F.col("x")).alias("y"), (F.col("z") + 1).alias("z"))
+    return ST.tm_score(ST.superposed(e, turned))
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    from ..streaming.runs import tumbling
+
+    return tumbling(P.table(spark, sf, "events"), "ts", ["event_type"], "1 day", "1 day").select("start", "event_type", "n")
