@@ -48,9 +48,10 @@ def evidence_streams(n_association="n_association", n_pathways="n_pathways", n_i
 
 
 def evidence_score(targets: DataFrame) -> DataFrame:
-    """targets with evidence_score, from score, path_strength, adjusted, betweenness, corroboration and causes."""
-    value = F.col("score") * F.col("path_strength") * F.when(F.col("adjusted"), 1.0).otherwise(0.8) * (1 + F.coalesce("betweenness", F.lit(0.0))) * F.coalesce("corroboration", F.lit(1.0))
-    return targets.withColumn("evidence_score", value * F.when(F.coalesce("causes", F.lit(False)), 1.5).otherwise(1.0))
+    """targets with evidence_score, from score, path_strength, adjusted and, where there, betweenness, corroboration and causes."""
+    has = lambda c, v: F.coalesce(F.col(c), F.lit(v)) if c in targets.columns else F.lit(v)
+    value = F.col("score") * F.col("path_strength") * F.when(F.col("adjusted"), 1.0).otherwise(0.8) * (1 + has("betweenness", 0.0)) * has("corroboration", 1.0)
+    return targets.withColumn("evidence_score", value * F.when(has("causes", False), 1.5).otherwise(1.0))
 
 
 def robustness(edges: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
