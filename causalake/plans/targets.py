@@ -368,10 +368,13 @@ def _(spark, sf):
     return R.islands(e, ["user_id"], "event_id", "hi")
 
 
-@query("moving_mean", "SELECT event_id, round(((sum((value * 10000)::BIGINT) OVER w)::BIGINT / (count(*) OVER w) / 10000.0::DOUBLE)::VARCHAR::DECIMAL(30, 18), 4)::DOUBLE AS value_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
+@query("moving_mean", "SELECT event_id, (sum((value * 10000)::BIGINT) OVER w)::BIGINT AS total, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
 def _(spark, sf):
-    e = P.table(spark, sf, "events").withColumn("value", (F.col("value") * 10000).cast("long"))  # whole numbers add up alike in any order
-    return R.moving_mean(e, ["user_id"], "event_id", "value").select("event_id", F.round(F.col("value_mean") / 10000.0, 4).alias("value_mean"))
+    # Whole numbers: the mean's parts, so that neither rounding nor the order of summation matters.
+    e = P.table(spark, sf, "events").withColumn("value", F.round(F.col("value") * 10000).cast("long"))
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-49, 0)
+    held = R.moving_mean(e, ["user_id"], "event_id", "value").withColumn("n", F.count("*").over(w))
+    return held.select("event_id", F.round(F.col("value_mean") * F.col("n")).cast("long").alias("total"), "n")
 
 
 @query("dataset_split", "WITH n AS (SELECT count(*) AS n FROM part), s AS (SELECT unnest(['train', 'validation', 'test']) AS split) SELECT split, (CASE split WHEN 'train' THEN floor(n * 0.9) WHEN 'validation' THEN floor(n * 0.05) ELSE n - floor(n * 0.9) - floor(n * 0.05) END)::BIGINT AS n FROM s, n")
