@@ -32,10 +32,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def whole_graph(spark, sf) -> DataFrame:
+    """Resolved edges of every graph."""
+    return G.resolve_collisions(P.edges(spark, sf))
+
+
 def small_graph(spark, sf) -> DataFrame:
-    """Resolved edges of a thinner graph: parts whose number divides by 7."""
-    e = P.edges(spark, sf).where((F.substring("source_id", 2, 9).cast("int") % 7 == 0) | (F.substring("target_id", 2, 9).cast("int") % 7 == 0))
-    return G.resolve_collisions(e)
+    """Resolved edges of a thinner graph, as the SQL of reachability and path_strength has it: parts whose number divides by 7."""
+    return whole_graph(spark, sf).where((F.substring("source_id", 2, 9).cast("int") % 7 == 0) | (F.substring("target_id", 2, 9).cast("int") % 7 == 0))
 
 
 SMALL_SQL = COLLISIONS_SQL + ", g AS (SELECT * FROM resolved WHERE substr(source_id, 2)::INT % 7 = 0 OR substr(target_id, 2)::INT % 7 = 0)"
@@ -86,7 +90,7 @@ def _(spark, sf):
 
 @query("pagerank")
 def _(spark, sf):
-    return PA.pagerank(small_graph(spark, sf), 5).withColumn("rank", F.round("rank", 8))
+    return PA.pagerank(whole_graph(spark, sf), 5).withColumn("rank", F.round("rank", 8))
 
 
 @query("near_misses", f"WITH {P.EDGES_SQL} SELECT a.graph_id, a.target_id AS treatment, b.target_id AS outcome, count(DISTINCT a.source_id) AS n FROM edges a JOIN edges b ON a.graph_id = b.graph_id AND a.source_id = b.source_id WHERE a.edge_type = 'activates' AND NOT (b.edge_type = 'activates' OR (b.edge_type = 'associated_with' AND b.evidence_class = 'genetic_association')) AND a.source_id <> a.target_id AND b.source_id <> b.target_id AND a.target_id <> b.target_id GROUP BY 1, 2, 3")
@@ -95,8 +99,8 @@ def _(spark, sf):
 
 
 def disease_graph(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and pairs: the thin graphs with an edge to the disease from each node that has genetic evidence."""
-    e = small_graph(spark, sf).where("source_id < target_id").select("graph_id", "source_id", "target_id", "edge_type", "evidence_class", "weight", "source_db")
+    """Nodes, edges and pairs: all edges and cycles, and an edge from each node to the disease; even nodes have genetic evidence."""
+    e = whole_graph(spark, sf).select("graph_id", "source_id", "target_id", "edge_type", "evidence_class", "weight", "source_db")
     ids = e.select("graph_id", F.explode(F.array("source_id", "target_id")).alias("node_id")).distinct()
     nodes = ids.withColumn("score", (F.substring("node_id", 2, 9).cast("int") % 10) / 10)
     kind = F.when(F.substring("node_id", 2, 9).cast("int") % 2 == 0, "genetic_association").otherwise("literature")
@@ -119,12 +123,12 @@ def _(spark, sf):
 
 @query("cyclic_components")
 def _(spark, sf):
-    return C.cyclic_components(small_graph(spark, sf))
+    return C.cyclic_components(whole_graph(spark, sf))
 
 
 @query("betweenness")
 def _(spark, sf):
-    return C.betweenness(small_graph(spark, sf)).withColumn("betweenness", F.round("betweenness", 8))
+    return C.betweenness(whole_graph(spark, sf)).withColumn("betweenness", F.round("betweenness", 8))
 
 
 @query("counterfactual")
