@@ -139,12 +139,23 @@ class Sampler:
 
     def picks(self, owner: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
         """(texts, K) picks as uint32 identities of (shingle, level); 0 for texts without shingles."""
-        out = np.zeros((texts, self.k), np.uint64)
+        return self.both(owner, value, weight, texts)[0]
+
+    def both(self, owner: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
+        """(2, texts, K): picks by weight, and picks where each shingle weighs 1, whose level is 0, from the same draws."""
+        out = np.zeros((2, texts, self.k), np.uint64)
         if not len(owner):
             return out
         head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        log_w = np.log(weight).astype(np.float32)
+        odd = np.flatnonzero(weight != 1)
+        log_w = np.log(weight[odd]).astype(np.float32)
         second = mix(value) | np.uint64(1)
+
+        def code(log_a: np.ndarray, who: np.ndarray) -> np.ndarray:
+            bits = log_a.view(np.uint32)
+            bits = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
+            return (bits.astype(np.uint64) << np.uint64(32)) | (who & np.uint64(0xFFFFFFFF))
+
         for k in range(self.k):
             draw = (value + np.uint64(k + 1) * second) * np.uint64(0x9E3779B97F4A7C15)
             draw ^= draw >> np.uint64(29)
@@ -152,23 +163,40 @@ class Sampler:
             r = self.r[(draw >> np.uint64(52)).astype(np.int64)]
             log_c = self.log_c[((draw >> np.uint64(36)) & np.uint64(0xFFFF)).astype(np.int64)]
             beta = ((draw >> np.uint64(12)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2**-24)
-            level = np.floor(log_w / r + beta)
-            log_a = log_c - r * (level - beta + np.float32(1))
-            bits = log_a.view(np.uint32)
-            bits = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
-            who = (draw ^ (level.astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) & np.uint64(0xFFFFFFFF)
-            least = np.minimum.reduceat((bits.astype(np.uint64) << np.uint64(32)) | who, head)
-            out[owner[head], k] = least & np.uint64(0xFFFFFFFF)
+            each = code(log_c - r * (np.float32(1) - beta), draw)
+            least = np.minimum.reduceat(each, head)
+            out[1, owner[head], k] = least & np.uint64(0xFFFFFFFF)
+            if len(odd):
+                r, beta = r[odd], beta[odd]
+                level = np.floor(log_w / r + beta)
+                who = draw[odd] ^ (level.astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                each[odd] = code(log_c[odd] - r * (level - beta + np.float32(1)), who)
+                least = np.minimum.reduceat(each, head)
+            out[0, owner[head], k] = least & np.uint64(0xFFFFFFFF)
         return out
 
 
+def banded(picks: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) hashes of the bands of (texts, K) picks."""
+    bands = np.zeros((len(picks), BANDS), np.uint64)
+    for b in range(BANDS):
+        h = np.full(len(picks), b + 1, np.uint64)
+        for x in range(b * ROWS, (b + 1) * ROWS):
+            h = mix(h ^ picks[:, x]) + np.uint64(x)
+        bands[:, b] = h
+    return bands
+
+
 def node_of(text: str, key: str):
     """The identity of a text: equal texts are one node; a null text is a node by its key."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.concat(F.lit("\0null:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))))
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_key, _node and _bands (empty for texts without words) of every row."""
+    """_key, _node and _bands (empty for texts without words) of every row.
+
+    Bands by weight, then those of plain picks that differ from them: candidates cover both similarities that count.
+    """
     table = docs.sparkSession.sparkContext.broadcast(idf)  # SLOTS floats
     rows = docs.select(F.col(key).cast("long").alias("_key"), node_of(text, key).alias("_node"), F.col(text).alias("_text"))
 
@@ -176,17 +204,12 @@ def signatures(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str
         sampler = Sampler()
         for piece in pieces(batches, "_text"):
             owner, value, times = shingles(texts_of(piece, "_text"))
-            picks = sampler.picks(owner, value, times * table.value[slot_of(value)], piece.num_rows)
-            bands = np.zeros((piece.num_rows, BANDS), np.uint64)
-            for b in range(BANDS):
-                h = np.full(piece.num_rows, b + 1, np.uint64)
-                for x in range(b * ROWS, (b + 1) * ROWS):
-                    h = mix(h ^ picks[:, x]) + np.uint64(x)
-                bands[:, b] = h
+            weighted, plain = (banded(x) for x in sampler.both(owner, value, times * table.value[slot_of(value)], piece.num_rows))
             some = np.zeros(piece.num_rows, bool)
             some[owner] = True
-            at = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(bands[some].ravel().view(np.int64)))
+            bands, good = np.hstack((weighted, plain)), np.hstack((np.ones_like(plain, bool), plain != weighted)) & some[:, None]
+            at = np.concatenate(([0], np.cumsum(good.sum(axis=1)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(bands[good].view(np.int64)))
             yield pa.RecordBatch.from_pydict({"_key": piece.column("_key"), "_node": piece.column("_node"), "_bands": lists})
 
     return rows.mapInArrow(sign, "_key long, _node binary, _bands array<long>")
@@ -245,12 +268,12 @@ def linked(docs: DataFrame, signed: DataFrame, idf: np.ndarray, key: str, text:
     """_node, _class of all nodes with a verified partner, or None if there is none."""
     spark = docs.sparkSession
     nodes = signed.where(F.size("_bands") > 0).groupBy("_node").agg(F.first("_bands").alias("_bands"))
-    member = nodes.select("_node", F.posexplode("_bands").alias("_at", "_hash"))
-    size = member.groupBy("_at", "_hash").agg(F.count("*").alias("_size")).where("_size > 1")
-    member = member.join(size, ["_at", "_hash"])
+    member = nodes.select("_node", F.explode("_bands").alias("_hash"))
+    size = member.groupBy("_hash").agg(F.count("*").alias("_size")).where("_size > 1")
+    member = member.join(size, ["_hash"])
     # How many others a node meets in all bands: the original of a group of copies meets most.
     fame = member.groupBy("_node").agg(F.sum("_size").alias("_fame"))
-    member = written(member.join(fame, "_node").select("_at", "_hash", "_node", "_fame"), "near-buckets")
+    member = written(member.join(fame, "_node").select("_hash", "_node", "_fame"), "near-buckets")
     slot = F.pmod(F.xxhash64("_node"), F.lit(FILTER_WORDS * 64))
     word, bit = F.floor(slot / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
     filled = member.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
@@ -260,14 +283,14 @@ def linked(docs: DataFrame, signed: DataFrame, idf: np.ndarray, key: str, text:
 
     links, classes, stale, tried, left = None, None, False, None, member
     for turn in range(MOST_ROUNDS + 1):
-        best = left.groupBy("_at", "_hash").agg(F.max(F.struct("_fame", "_node")).alias("_top"), F.count("*").alias("_n")).where("_n > 1")
-        led = left.join(best.select("_at", "_hash", "_n", F.col("_top._node").alias("_lead")), ["_at", "_hash"])
+        best = left.groupBy("_hash").agg(F.max(F.struct("_fame", "_node")).alias("_top"), F.count("*").alias("_n")).where("_n > 1")
+        led = left.join(best.select("_hash", "_n", F.col("_top._node").alias("_lead")), "_hash")
         all_pairs = F.lit(turn == MOST_ROUNDS) | ((F.col("_n") <= SMALL) & F.lit(turn > 0))
         led_on = ~all_pairs & (F.col("_node") != F.col("_lead"))
         pairs = led.where(led_on & F.lit(turn != 1)).select("_node", "_lead")
         if turn:
-            few = led.where(all_pairs).select("_at", "_hash", "_node")
-            pairs = pairs.union(few.join(few.withColumnRenamed("_node", "_lead"), ["_at", "_hash"]).where("_node < _lead").select("_node", "_lead"))
+            few = led.where(all_pairs).select("_hash", "_node")
+            pairs = pairs.union(few.join(few.withColumnRenamed("_node", "_lead"), "_hash").where("_node < _lead").select("_node", "_lead"))
         pairs = pairs.select(F.least("_node", "_lead").alias("a"), F.greatest("_node", "_lead").alias("b")).distinct()
         if classes is not None:  # members of one class need no comparison
             mine, other = classes.select(F.col("_node").alias("a"), F.col("_class").alias("_mine")), classes.select(F.col("_node").alias("b"), F.col("_class").alias("_other"))
@@ -286,12 +309,12 @@ def linked(docs: DataFrame, signed: DataFrame, idf: np.ndarray, key: str, text:
         # The leader has met all others of its bucket; they go on without it, unless all are in one class by now.
         rest = led.where(led_on).drop("_lead", "_n")
         if turn == 1:
-            large = led.where(~all_pairs).join(nodes, "_node").select("_node", "_fame", "_at", "_hash", F.posexplode("_bands").alias("_second", "_other")).where("_second <> _at")
-            rest = large.select((F.col("_at") * BANDS + F.col("_second")).alias("_at"), F.xxhash64("_hash", "_other").alias("_hash"), "_node", "_fame")
+            large = led.where(~all_pairs).join(nodes, "_node").select("_node", "_fame", "_hash", F.explode("_bands").alias("_other")).where("_other <> _hash")
+            rest = large.select(F.xxhash64("_hash", "_other").alias("_hash"), "_node", "_fame")
         named = rest if classes is None else rest.join(classes, "_node", "left")
         named = named.withColumn("_c", F.col("_node") if classes is None else F.coalesce("_class", "_node"))
-        open_ = named.groupBy("_at", "_hash").agg(F.min("_c").alias("x"), F.max("_c").alias("y")).where("x <> y").select("_at", "_hash")
-        left = written(rest.join(open_, ["_at", "_hash"], "left_semi"), "near-left")
+        open_ = named.groupBy("_hash").agg(F.min("_c").alias("x"), F.max("_c").alias("y")).where("x <> y").select("_hash")
+        left = written(rest.join(open_, "_hash", "left_semi"), "near-left")
         if not left.limit(1).count():
             break
     return components(links) if stale else classes
