@@ -32,9 +32,8 @@ SLOTS, PARTS, COMMON = 1 << 18, 16, 0.01
 #: The filter of documents that have a partner: 8 million bits, 1 MB, whatever the input.
 FILTER_WORDS = 1 << 17
 #: After the first round, buckets with so many members left are compared pair by pair (31 pairs a member, at
-#: most). Larger ones (short texts with one boilerplate line, say) are split by what their members share in a second
-#: band, which similar texts do; parts that are still large get further leaders up to this round, and what is left
-#: then is compared whatever its size.
+#: most). Larger ones get further leaders up to this round, and what is left then is compared whatever its size.
+#: Pairs inside one class are left out: they are linked already.
 SMALL, MOST_ROUNDS = 64, 4
 
 
@@ -287,10 +286,11 @@ def linked(docs: DataFrame, signed: DataFrame, idf: np.ndarray, key: str, text:
         led = left.join(best.select("_hash", "_n", F.col("_top._node").alias("_lead")), "_hash")
         all_pairs = F.lit(turn == MOST_ROUNDS) | ((F.col("_n") <= SMALL) & F.lit(turn > 0))
         led_on = ~all_pairs & (F.col("_node") != F.col("_lead"))
-        pairs = led.where(led_on & F.lit(turn != 1)).select("_node", "_lead")
+        pairs = led.where(led_on).select("_node", "_lead")
         if turn:
-            few = led.where(all_pairs).select("_hash", "_node")
-            pairs = pairs.union(few.join(few.withColumnRenamed("_node", "_lead"), "_hash").where("_node < _lead").select("_node", "_lead"))
+            few = led.where(all_pairs).select("_hash", "_node", "_c")
+            others = few.select("_hash", F.col("_node").alias("_lead"), F.col("_c").alias("_d"))
+            pairs = pairs.union(few.join(others, "_hash").where("_node < _lead and _c <> _d").select("_node", "_lead"))
         pairs = pairs.select(F.least("_node", "_lead").alias("a"), F.greatest("_node", "_lead").alias("b")).distinct()
         if classes is not None:  # members of one class need no comparison
             mine, other = classes.select(F.col("_node").alias("a"), F.col("_class").alias("_mine")), classes.select(F.col("_node").alias("b"), F.col("_class").alias("_other"))
@@ -307,14 +307,11 @@ def linked(docs: DataFrame, signed: DataFrame, idf: np.ndarray, key: str, text:
             # Few links come after the first round; until the end the classes of that round serve to skip pairs.
             classes, stale = (components(links), False) if classes is None else (classes, True)
         # The leader has met all others of its bucket; they go on without it, unless all are in one class by now.
-        rest = led.where(led_on).drop("_lead", "_n")
-        if turn == 1:
-            large = led.where(~all_pairs).join(nodes, "_node").select("_node", "_fame", "_hash", F.explode("_bands").alias("_other")).where("_other <> _hash")
-            rest = large.select(F.xxhash64("_hash", "_other").alias("_hash"), "_node", "_fame")
+        rest = led.where(led_on).drop("_lead", "_n", "_c")
         named = rest if classes is None else rest.join(classes, "_node", "left")
-        named = named.withColumn("_c", F.col("_node") if classes is None else F.coalesce("_class", "_node"))
+        named = named.select("_hash", "_node", "_fame", (F.col("_node") if classes is None else F.coalesce("_class", "_node")).alias("_c"))
         open_ = named.groupBy("_hash").agg(F.min("_c").alias("x"), F.max("_c").alias("y")).where("x <> y").select("_hash")
-        left = written(rest.join(open_, "_hash", "left_semi"), "near-left")
+        left = written(named.join(open_, "_hash", "left_semi"), "near-left")
         if not left.limit(1).count():
             break
     return components(links) if stale else classes

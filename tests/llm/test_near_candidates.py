@@ -23,3 +23,18 @@ def test_near_candidates_cover_plain_similarity(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bands = {x._key: set(x._bands) for x in near_dedup.signatures(df, idf).collect()}
     assert all(bands[i] & bands[i + 1] for i in range(0, len(texts), 2))
+
+
+def test_near_large_bucket_with_one_band(spark):
+    # 100 texts share one band and nothing else; two of them are similar.
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(99)]
+    texts.append(texts[50] + " " + word())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = np.ones(near_dedup.SLOTS, np.float32)
+    signed = near_dedup.signatures(df, idf).select("_key", "_node").join(spark.createDataFrame([(i, [1, 1000 + i]) for i in range(100)], "_key long, _bands array<long>"), "_key")
+    classes = near_dedup.linked(df, signed, idf, "doc_id", "text", 0.8)
+    assert classes is not None
+    keys = {x._node: x._key for x in signed.collect()}
+    assert {keys[x._node] for x in classes.collect()} == {50, 99}
