@@ -54,7 +54,7 @@ def evidence_score(targets: DataFrame) -> DataFrame:
     return targets.withColumn("evidence_score", value * F.when(has("causes", False), 1.5).otherwise(1.0))
 
 
-def robustness(edges: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
+def robustness(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
     """graph_id, treatment, outcome, source_stability, path_robustness, degree_robustness, robustness.
 
     pairs: graph_id, treatment, outcome, score. For every source that touches the treatment, all its edges in

@@ -28,8 +28,15 @@ def disease_graphs(assoc: DataFrame, interactions: DataFrame, genes: int = 25) -
     return cut(nodes.unionByName(disease, allowMissingColumns=True).drop("datatype_scores"), "graph-nodes"), cut(edges, "graph-edges")
 
 
-def ranked_targets(nodes: DataFrame, edges: DataFrame, n: int = 10, hops: int = 3) -> DataFrame:
-    """The n reported targets of each graph with verdict, evidence score, robustness, confidence and label."""
+#: What holds for a target of which facts say nothing.
+UNKNOWN = {"has_structure": False, "has_accession": False, "tractable": False, "is_druggable": False, "description": "", "target_type": "host_invasion", "tissue_relevant": True}
+
+
+def ranked_targets(nodes: DataFrame, edges: DataFrame, n: int = 10, hops: int | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """The n reported targets of each graph with verdict, evidence score, robustness, confidence and label.
+
+    facts: (graph_id, name) and columns of UNKNOWN: druggability, target class and tissue of each target.
+    """
     disease = nodes.where("node_type = 'disease'").select("graph_id", F.col("node_id").alias("outcome"))
     pairs = nodes.where("node_type = 'gene'").join(disease, "graph_id").select("graph_id", F.col("node_id").alias("treatment"), "outcome", "score", "n_associated_diseases", "name", "source")
     keys = ["graph_id", "treatment", "outcome"]
@@ -45,9 +52,12 @@ def ranked_targets(nodes: DataFrame, edges: DataFrame, n: int = 10, hops: int =
     rows = E.evidence_score(rows.withColumn("adjusted", F.size("adjustment_set") > 0))
     rows = rows.join(E.active_sources(nodes), "graph_id", "left")
     n_src = F.size(F.split("source", ", "))
-    drug = S.druggability(F.lit(False), F.lit(False), F.lit(False), F.lit(False), F.lit(""))
+    if facts is not None:
+        rows = rows.join(facts, ["graph_id", "name"], "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(v)) if c in rows.columns else F.lit(v) for c, v in UNKNOWN.items()})
+    drug = S.druggability("has_structure", "has_accession", "tractable", "is_druggable", "description")
     rows = rows.withColumn("evidence_streams", F.lit(1) + (F.coalesce("n_interactions", F.lit(0)) > 0).cast("int"))
     rows = rows.withColumn("causal_confidence", S.causal_confidence("evidence_score", "robustness", "identifiable", S.consensus(n_src, "n_active_sources", "score"), S.specificity("n_associated_diseases"), drug))
-    label = S.classification("causal_confidence", "robustness", "identifiable", "evidence_streams", F.lit("host_invasion"), F.lit(True))
-    rows = rows.withColumns({"label": label, "target_type": F.lit("host_invasion"), "ord": F.col("treatment")})
+    label = S.classification("causal_confidence", "robustness", "identifiable", "evidence_streams", "target_type", "tissue_relevant")
+    rows = rows.withColumns({"label": label, "ord": F.col("treatment")})
     return R.quota_ranking(rows, n).select("graph_id", "rank", "name", "causal_confidence", "label", "reason", "adjustment_set", F.round("evidence_score", 6).alias("evidence_score"), F.round("robustness", 6).alias("robustness"))

@@ -16,6 +16,7 @@ from ..operators import paths as PA
 from ..operators import ranking as R
 from ..operators import records as RE
 from ..operators import validation as V
+from ..runtime import cut
 from . import projections as P
 from .associations import COLLISIONS_SQL
 
@@ -90,7 +91,7 @@ def _(spark, sf):
 
 @query("pagerank")
 def _(spark, sf):
-    return PA.pagerank(whole_graph(spark, sf), 5).withColumn("rank", F.round("rank", 8))
+    return PA.pagerank(whole_graph(spark, sf)).withColumn("rank", F.round("rank", 8))
 
 
 @query("near_misses", f"WITH {P.EDGES_SQL} SELECT a.graph_id, a.target_id AS treatment, b.target_id AS outcome, count(DISTINCT a.source_id) AS n FROM edges a JOIN edges b ON a.graph_id = b.graph_id AND a.source_id = b.source_id WHERE a.edge_type = 'activates' AND NOT (b.edge_type = 'activates' OR (b.edge_type = 'associated_with' AND b.evidence_class = 'genetic_association')) AND a.source_id <> a.target_id AND b.source_id <> b.target_id AND a.target_id <> b.target_id GROUP BY 1, 2, 3")
@@ -140,7 +141,7 @@ def _(spark, sf):
 @query("robustness")
 def _(spark, sf):
     nodes, e, pairs = disease_graph(spark, sf)
-    out = E.robustness(e, pairs, 2)
+    out = E.robustness(cut(e, "disease-edges"), cut(pairs, "disease-pairs"))
     return out.select("graph_id", "treatment", "outcome", *(F.round(c, 6).alias(c) for c in ("source_stability", "path_robustness", "degree_robustness", "robustness")))
 
 
@@ -454,8 +455,8 @@ def _(spark, sf):
 def _(spark, sf):
     from .discovery import disease_graphs, ranked_targets
 
-    nodes, edges = disease_graphs(P.assoc(spark, sf), P.interactions(spark, sf), 12)
-    return ranked_targets(nodes, edges, 5, 2)
+    nodes, edges = disease_graphs(P.assoc(spark, sf), P.interactions(spark, sf))
+    return ranked_targets(nodes, edges, facts=cut(P.facts(spark, sf), "target-facts"))
 
 
 @query("disease_classes", "SELECT n_name AS disease, CASE WHEN n_nationkey % 5 = 0 THEN 'infectious_viral' WHEN n_nationkey % 5 = 1 THEN 'infectious_parasitic' WHEN n_nationkey % 5 = 2 THEN 'cancer' ELSE 'other' END AS class FROM nation")
