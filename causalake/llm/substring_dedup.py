@@ -57,16 +57,19 @@ def segments(ids: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> tuple[n
     end = np.repeat(at[1:], counts)
     word = hashes[ids]
     key = mix(word[:-2] + mix(word[1:-1] + mix(word[2:])))
-    place = np.arange(len(key), dtype=np.uint64)
-    low = (key & ~np.uint64(MOST * 4 - 1)) | place
-    wide, width = low, 1
+    # The smallest hash of a window and where it stands, whatever the length: of equal ones the first.
+    wide, anchor, width = key, np.arange(len(key)), 1
+
+    def joined(step: int) -> tuple[np.ndarray, np.ndarray]:
+        later = wide[step:] < wide[:-step]
+        return np.where(later, wide[step:], wide[:-step]), np.where(later, anchor[step:], anchor[:-step])
+
     need = WINDOW - ANCHOR + 1
     while width * 2 <= need:
-        wide = np.minimum(wide[:-width], wide[width:])
+        wide, anchor = joined(width)
         width *= 2
     if width < need:
-        wide = np.minimum(wide[: len(wide) - (need - width)], wide[need - width :])
-    anchor = (wide & np.uint64(MOST * 4 - 1)).astype(np.int64)
+        wide, anchor = joined(need - width)
     start = np.arange(len(anchor))
     start = start[start + WINDOW <= end[start]]
     if not len(start):
