@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Words of the contracts on white space: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handed to the vectorised kernels in pieces of about so many UTF-8 bytes.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
