@@ -336,7 +336,8 @@ def promising(pairs: DataFrame, threshold: float) -> DataFrame:
 def bucket_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different classes (_c) in a cell whose wide signatures agree often enough.
 
-    rows: _cell, _side (0: both with 0 and 1; -1: with each other), _node, _c, _wide, sorted by _cell in each partition.
+    A pair that meets in several bands is told in the first of them alone. rows: _cell, _side (0 with 1 only; -1:
+    with each other), _band, _node, _c, _wide, _bands, sorted by _cell in each partition.
     """
     need = enough(WIDE, threshold)
 
@@ -365,6 +366,8 @@ def bucket_pairs(rows: DataFrame, threshold: float) -> DataFrame:
         node = table.column("_node").combine_chunks()
         _, c = np.unique(np.array(table.column("_c").to_pylist(), object), return_inverse=True)
         wide = unpacked(table.column("_wide").combine_chunks())
+        band = table.column("_band").to_numpy()
+        bands = table.column("_bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(cell), -1)
         edge = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell)).tolist()
         left, right = [], []
         for x, y in zip(edge[:-1], edge[1:], strict=True):
@@ -372,6 +375,7 @@ def bucket_pairs(rows: DataFrame, threshold: float) -> DataFrame:
                 j = np.flatnonzero((c[i + 1 : y] != c[i]) & ((side[i + 1 : y] < 0) | (side[i + 1 : y] != side[i]))) + i + 1
                 j = j[(wide[j, :64] == wide[i, :64]).sum(1) >= early] if len(j) else j
                 j = j[(wide[j] == wide[i]).sum(1) >= need] if len(j) else j
+                j = j[(bands[j] == bands[i]).argmax(1) == band[i]] if len(j) else j
                 if len(j):
                     left.append(np.full(len(j), i))
                     right.append(j)
@@ -426,7 +430,7 @@ def linked(docs: DataFrame, signed: DataFrame, idf: Idf, key: str, text: str, th
     """_node, _class of all nodes with a verified partner, or None if there is none."""
     nodes = signed.where(F.size("_bands") > 0).groupBy("_node").agg(F.first(F.struct("_bands", "_sig")).alias("_s"))
     nodes = written(nodes.select("_node", "_s._bands", "_s._sig"), "near-nodes")
-    member = nodes.select("_node", F.explode("_bands").alias("_hash"))
+    member = nodes.select("_node", F.posexplode("_bands").alias("_band", "_hash"))
     size = member.groupBy("_hash").agg(F.count("*").alias("_size")).where("_size > 1")
     member = written(member.join(size, ["_hash"]), "near-met")
     # How many others a node meets in all bands: the original of a group of copies meets most.
@@ -442,7 +446,7 @@ def linked(docs: DataFrame, signed: DataFrame, idf: Idf, key: str, text: str, th
     classes = components(links) if links.limit(1).count() else None
 
     named = member if classes is None else member.join(classes, "_node", "left")
-    named = named.select("_hash", "_node", "_size", (F.col("_node") if classes is None else F.coalesce("_class", "_node")).alias("_c"))
+    named = named.select("_band", "_hash", "_node", "_size", (F.col("_node") if classes is None else F.coalesce("_class", "_node")).alias("_c"))
     open_ = named.groupBy("_hash").agg(F.min("_c").alias("x"), F.max("_c").alias("y"), F.count("*").alias("_n")).where("x <> y and _n > 2").select("_hash")
     left = written(named.join(open_, "_hash", "left_semi"), "near-left")
     texts = texts_of_nodes(docs, left.select("_node"), key, text)
@@ -451,8 +455,9 @@ def linked(docs: DataFrame, signed: DataFrame, idf: Idf, key: str, text: str, th
     blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("_node"), blocks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.xxhash64("_hash", F.least(i, own), F.greatest(i, own)).alias("_cell"), F.when(i == own, -1).otherwise((i < own).cast("int")).alias("_side")))
-    rows = left.select("_node", "_c", F.explode(cells).alias("_in")).select("_in._cell", "_in._side", "_node", "_c").join(wide, "_node")
-    rows = rows.select("_cell", "_side", "_node", "_c", "_wide").repartition("_cell").sortWithinPartitions("_cell")
+    wide = wide.join(nodes.select("_node", "_bands"), "_node")
+    rows = left.select("_band", "_node", "_c", F.explode(cells).alias("_in")).select("_in._cell", "_in._side", "_band", "_node", "_c").join(wide, "_node")
+    rows = rows.select("_cell", "_side", "_band", "_node", "_c", "_wide", "_bands").repartition("_cell").sortWithinPartitions("_cell")
     found = bucket_pairs(rows, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = written(found.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
     more = verified(found, texts, idf, threshold)
