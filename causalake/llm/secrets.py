@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -99,13 +100,14 @@ def scan(text: str, guesses: float = GUESSES) -> list[tuple[int, int, str]]:
     if any(x in text for x in "=:") and any(x in lower for x in ("password", "passwd", "secret", "token", "api")):
         found += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if any(x in lower for x in ("pass", "pwd", "secret", "token", "credential", "api", "key", "auth", "bearer", "login")):
-        held = [(a, b) for a, b, _ in found]
+        starts, ends = [a for a, _, _ in found], [b for _, b, _ in found]
         for m in CONTEXT.finditer(text):
             value = m[4].rstrip(".,;:!?)]}*#$%&")
             a, b = m.start(4), m.start(4) + len(value)
             if "is" in m[2].lower() and not (re.search(r"\d", value) and re.search(r"[A-Za-z]", value)):
                 continue
-            if len(value) >= 6 and not any(x <= a and b <= y for x, y in held) and guess_cost(value) >= guesses:
+            at = bisect_right(starts, a) - 1  # base spans don't overlap
+            if len(value) >= 6 and not (at >= 0 and b <= ends[at]) and guess_cost(value) >= guesses:
                 found.append((a, b, 3))
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
