@@ -243,7 +243,27 @@ def _search(texts: list[bytes], doc: np.ndarray, mark: np.ndarray, start: np.nda
     again[:-1] |= p[1:] == p[:-1]
     open_ = np.zeros(len(begin), bool)
     open_[order] = again
-    if open_.any():
+    most = INDEX_WORDS if len(ids) + len(counts) >= MOST else MOST
+    if most < MOST:  # an anchor with more segments than an index holds: its different windows, in parts by fingerprint
+        left = np.flatnonzero(open_)
+        parts = -(-len(left) * (WINDOW + 1) // most) if len(left) else 0
+        group = (mix(print_[left]) % np.uint64(max(parts, 1))).astype(np.int64)
+        for g in range(parts):
+            rows = left[group == g]
+            held, which = np.unique(ids[begin[rows][:, None] + np.arange(WINDOW)], axis=0, return_inverse=True)
+            which = which.ravel()
+            if not len(held):
+                continue
+            best = np.full(len(held), np.iinfo(np.int64).max)
+            np.minimum.at(best, which, least[owner[rows]])
+            for a in range(0, len(held), most // (WINDOW + 1)):
+                part = held[a : a + most // (WINDOW + 1)]
+                index = FMIndex(np.append(part + 1, np.zeros((len(part), 1), np.int64), axis=1).ravel(), len(distinct) + 1)
+                lo, hi = index.ranges(part + 1, np.full(len(part), WINDOW))
+                found, where = index.occurrences(lo, hi)
+                np.minimum.at(best, a + found, best[a + where // (WINDOW + 1)])
+            smallest[rows] = best[which]
+    elif open_.any():
         used = np.unique(owner[open_])
         kept = np.isin(np.arange(len(counts)), used)
         place = np.cumsum(np.where(kept, counts + 1, 0)) - np.where(kept, counts + 1, 0)

@@ -17,3 +17,20 @@ def test_anchor_beyond_eight_million_words():
     f, e, a = S.segments(part, np.array([len(part)]), hashes)
     late = {(x + n - 3000, z) for x, z in zip(f[1:].tolist(), a[1:].tolist(), strict=True)}
     assert late <= set(zip(first.tolist(), anchor.tolist(), strict=True))
+
+
+def test_hot_anchor_beyond_one_index(monkeypatch):
+    # Segments of one anchor that together have more words than an index holds.
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 40, (3000, 23))
+    words[:, 10:13] = [1, 2, 3]
+    words[1000:2000] = words[:1000]
+    words[2000:, :20] = words[:1000, :20]
+    texts = [" ".join(f"w{x}" for x in row).encode() for row in words]
+    doc, mark, start = np.arange(3000), np.zeros(3000, np.int64), np.zeros(3000, np.int64)
+    whole = S._search(texts, doc, mark, start)
+    monkeypatch.setattr(S, "MOST", 1 << 14)
+    monkeypatch.setattr(S, "INDEX_WORDS", 1 << 12)
+    parts = S._search(texts, doc, mark, start)
+    assert sorted(zip(*(x.tolist() for x in whole), strict=True)) == sorted(zip(*(x.tolist() for x in parts), strict=True))
+    assert len(whole[0]) >= 1000 * 11 + 1000 * 8
