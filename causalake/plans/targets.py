@@ -38,42 +38,45 @@ def whole_graph(spark, sf) -> DataFrame:
     return G.resolve_collisions(P.edges(spark, sf))
 
 
-def small_graph(spark, sf) -> DataFrame:
-    """Resolved edges of a thinner graph, as the SQL of reachability and path_strength has it: parts whose number divides by 7."""
-    return whole_graph(spark, sf).where((F.substring("source_id", 2, 9).cast("int") % 7 == 0) | (F.substring("target_id", 2, 9).cast("int") % 7 == 0))
-
-
-SMALL_SQL = COLLISIONS_SQL + ", g AS (SELECT * FROM resolved WHERE substr(source_id, 2)::INT % 7 = 0 OR substr(target_id, 2)::INT % 7 = 0)"
-
-
 @query(
     "reachability",
-    f"""WITH RECURSIVE {SMALL_SQL}, r(graph_id, treatment, node, hops) AS (SELECT DISTINCT graph_id, source_id, source_id, 0 FROM g WHERE source_id = 'G7'
-UNION SELECT r.graph_id, treatment, g.target_id, hops + 1 FROM r JOIN g ON r.graph_id = g.graph_id AND r.node = g.source_id WHERE hops < 3)
-SELECT graph_id, treatment, node, min(hops)::INT AS hops FROM r GROUP BY 1, 2, 3""",
+    f"""WITH RECURSIVE {COLLISIONS_SQL}, r(graph_id, treatment, node, hops) USING KEY (graph_id, treatment, node) AS (SELECT DISTINCT graph_id, source_id, source_id, 0 FROM resolved
+UNION SELECT r.graph_id, r.treatment, e.target_id, min(r.hops) + 1 FROM r JOIN resolved e ON r.graph_id = e.graph_id AND r.node = e.source_id
+WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS s WHERE s.graph_id = r.graph_id AND s.treatment = r.treatment AND s.node = e.target_id) GROUP BY 1, 2, 3)
+SELECT graph_id, treatment, node, hops::INT AS hops FROM r""",
 )
 def _(spark, sf):
-    g = small_graph(spark, sf)
-    starts = g.where("source_id = 'G7'").select("graph_id", F.col("source_id").alias("treatment")).distinct()
-    return PA.reachable(g, starts, 3)
+    g = cut(whole_graph(spark, sf), "whole-graph")
+    return PA.reachable(g, g.select("graph_id", F.col("source_id").alias("treatment")).distinct())
+
+
+def outcome_graph(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Edges and pairs: all edges, one from each node without out-edges to the disease, and a pair of each node with the disease."""
+    e = cut(whole_graph(spark, sf).select("graph_id", "source_id", "target_id", "weight", "source_db"), "whole-graph")
+    ids = e.select("graph_id", F.explode(F.array("source_id", "target_id")).alias("node_id")).distinct()
+    ends = ids.join(e.select("graph_id", F.col("source_id").alias("node_id")).distinct(), ["graph_id", "node_id"], "left_anti")
+    score = (F.substring("node_id", 2, 9).cast("int") % 10) / 10
+    toward = ends.select("graph_id", F.col("node_id").alias("source_id"), F.lit("D").alias("target_id"), score.alias("weight"), F.lit("DB9").alias("source_db"))
+    return e.unionByName(toward), ids.select("graph_id", F.col("node_id").alias("treatment"), F.lit("D").alias("outcome"))
 
 
 @query(
     "path_strength",
-    f"""WITH RECURSIVE {SMALL_SQL}, r(graph_id, node, hops, s) AS (SELECT DISTINCT graph_id, source_id, 0, 1.0::DOUBLE FROM g WHERE source_id = 'G7'
-UNION SELECT r.graph_id, g.target_id, hops + 1, s * weight FROM r JOIN g ON r.graph_id = g.graph_id AND r.node = g.source_id WHERE hops < 3),
-d AS (SELECT graph_id, node, min(hops) AS hops FROM r GROUP BY 1, 2), b AS (SELECT graph_id, node, d.hops, max(s) AS s FROM d JOIN r USING (graph_id, node, hops) GROUP BY 1, 2, 3),
+    f"""WITH RECURSIVE {COLLISIONS_SQL}, ids AS (SELECT graph_id, source_id AS node FROM resolved UNION SELECT graph_id, target_id FROM resolved),
+g AS (SELECT graph_id, source_id, target_id, weight FROM resolved UNION ALL
+SELECT graph_id, node, 'D', substr(node, 2)::INT % 10 / 10.0::DOUBLE FROM ids WHERE NOT EXISTS (SELECT 1 FROM resolved e WHERE e.graph_id = ids.graph_id AND e.source_id = node)),
+d(graph_id, node, hops, s) USING KEY (graph_id, node) AS (SELECT DISTINCT graph_id, 'D', 0, 1.0::DOUBLE FROM g
+UNION SELECT d.graph_id, g.source_id, min(d.hops) + 1, max(d.s * coalesce(g.weight, 0.5::DOUBLE)) FROM d JOIN g ON d.graph_id = g.graph_id AND d.node = g.target_id
+WHERE NOT EXISTS (SELECT 1 FROM recurring.d AS x WHERE x.graph_id = d.graph_id AND x.node = g.source_id) GROUP BY 1, 2),
 w AS (SELECT graph_id, source_id AS a, target_id AS b FROM g UNION SELECT graph_id, target_id, source_id FROM g),
-u(graph_id, node, hops) AS (SELECT DISTINCT graph_id, source_id, 0 FROM g WHERE source_id = 'G7' UNION SELECT u.graph_id, w.b, u.hops + 1 FROM u JOIN w ON u.graph_id = w.graph_id AND u.node = w.a WHERE u.hops < 3),
-ud AS (SELECT graph_id, node, min(hops) AS hops FROM u GROUP BY 1, 2), t AS (SELECT DISTINCT graph_id, target_id AS outcome FROM g WHERE graph_id IN (SELECT graph_id FROM g WHERE source_id = 'G7'))
-SELECT t.graph_id, outcome, round(CASE WHEN outcome = 'G7' THEN 0.0 WHEN b.hops IS NOT NULL THEN b.s / (b.hops + 1) WHEN ud.hops IS NOT NULL THEN 0.5 / (ud.hops + 1) ELSE 0.1 END, 6)::DOUBLE AS strength
-FROM t LEFT JOIN b ON b.graph_id = t.graph_id AND b.node = outcome LEFT JOIN ud ON ud.graph_id = t.graph_id AND ud.node = outcome""",
+u(graph_id, node, hops) USING KEY (graph_id, node) AS (SELECT DISTINCT graph_id, 'D', 0 FROM g
+UNION SELECT u.graph_id, w.a, min(u.hops) + 1 FROM u JOIN w ON u.graph_id = w.graph_id AND u.node = w.b
+WHERE NOT EXISTS (SELECT 1 FROM recurring.u AS x WHERE x.graph_id = u.graph_id AND x.node = w.a) GROUP BY 1, 2)
+SELECT ids.graph_id, ids.node AS treatment, d.hops::INT AS hops, round(CASE WHEN d.hops IS NOT NULL THEN d.s / (d.hops + 1) WHEN u.hops IS NOT NULL THEN 0.5 / (u.hops + 1) ELSE 0.1 END, 6)::DOUBLE AS strength
+FROM ids LEFT JOIN d ON d.graph_id = ids.graph_id AND d.node = ids.node LEFT JOIN u ON u.graph_id = ids.graph_id AND u.node = ids.node""",
 )
 def _(spark, sf):
-    g = small_graph(spark, sf)
-    at = g.where("source_id = 'G7'").select("graph_id", F.col("source_id").alias("treatment")).distinct()
-    pairs = g.select("graph_id", F.col("target_id").alias("outcome")).distinct().join(at, "graph_id")
-    return PA.path_strength(g, pairs, 3).select("graph_id", "outcome", F.round("path_strength", 6).alias("strength"))
+    return PA.path_strength(*outcome_graph(spark, sf)).select("graph_id", "treatment", "hops", F.round("path_strength", 6).alias("strength"))
 
 
 @query("node_degrees", f"WITH {COLLISIONS_SQL}, e AS (SELECT graph_id, source_id AS node_id, 0 AS i, 1 AS o FROM resolved UNION ALL SELECT graph_id, target_id, 1, 0 FROM resolved) SELECT graph_id, node_id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM e GROUP BY 1, 2")

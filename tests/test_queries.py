@@ -7,10 +7,8 @@ import pytest
 from causalake.plans import catalog
 from tests.conftest import rows, sql_rows
 
-SLOW = {"robustness", "path_strength", "reachability", "pagerank"}
 
-
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_equals_sql(spark, sf, duck, name):
     df = catalog.QUERIES[name](spark, sf)
     assert rows(df) == sql_rows(duck, catalog.ORACLES[name], df.columns)
