@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import pieces, read, texts_of
+from .common import pieces, read, texts_of, written
 
-#: The fit takes so many labelled documents for each language, at most, in hash order; and so many
-#: characters of each. A dictionary has so many bytes at most. Labels beyond the commonest LANGUAGES are left out.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY, LANGUAGES = 400, 2_000, 112 << 10, 200
+#: The fit takes so many labelled documents for each language, at most, in hash order; from each of them so many
+#: pieces of so many characters, at most, drawn from the whole text. A dictionary has so many bytes at most, and
+#: all of them together TOTAL: with more languages than fit, each has a smaller one. All languages are learned.
+SAMPLE_DOCS, PIECES, PIECE_CHARS, DICTIONARY, TOTAL = 400, 32, 280, 112 << 10, 24 << 20
 LEVEL = 6
 #: A text is compressed in blocks of so many bytes, each with the dictionary: in one long block the text's own
 #: past would stand in for the dictionary after a while.
@@ -34,22 +35,41 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     """A raw-content dictionary for each language of the labelled rows (lang not null, text not empty).
 
     Labelled rows are counted over all documents; a hash of key and text then keeps about four times the sample
-    of each language, and the sample is the first of those in hash order. So it doesn't depend on partitions, and
-    what is shuffled is bounded by the parameters above, whatever the input. Equal texts stand once.
+    of each language, and the sample is the first of those in hash order. Each sampled document gives pieces from
+    anywhere in its whole text: all of them where there are PIECES or fewer, else PIECES in places drawn by hash.
+    A dictionary takes the first piece of every document, then the second of every one, until it is full. So it
+    doesn't depend on partitions, and what is shuffled for a language is bounded by the parameters above, whatever
+    the input and the length of its texts. Equal pieces stand once. {} for an empty table.
     """
-    rows = docs.where(F.col(lang).isNotNull() & (F.trim(text) != ""))
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    if not counts:
+    rows = docs.where(F.col(lang).isNotNull() & (F.trim(text) != "")).select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h"))
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("count")), "language-counts")
+    labels = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").collect()]
+    if not labels:
         return {}
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r[lang], min(1.0, 4 * SAMPLE_DOCS / r["count"]))))
-    rows = rows.select(lang, F.substring(text, 1, SAMPLE_CHARS).alias("t"), F.xxhash64(key, text).alias("h"))
-    rows = rows.where(F.pmod("h", F.lit(1 << 40)) < F.element_at(share, F.col(lang)) * float(1 << 40))
-    first = Window.partitionBy(lang).orderBy("h", "t")
+    size = min(DICTIONARY, TOTAL // len(labels))
+    share = F.least(F.lit(1.0), 4.0 * SAMPLE_DOCS / F.col("count"))
+    rows = rows.join(counts, "lang").where(F.pmod("h", F.lit(1 << 40)) < share * float(1 << 40))
+    n = F.ceil(F.length("t") / PIECE_CHARS)
+    turn = lambda i: F.when(n <= PIECES, F.pmod(F.pmod("h", n) + i, n)).otherwise(F.pmod(F.xxhash64("h", i), n))
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), turn))
+    cut = F.transform(places, lambda at: F.expr("t").substr((at * PIECE_CHARS + 1).cast("int"), F.lit(PIECE_CHARS)))
+    rows = rows.select("lang", "h", cut.alias("cut"))
+    first = Window.partitionBy("lang").orderBy("h", "cut")
     rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS)
-    rows = rows.groupBy(lang).agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("n", "t"))), lambda x: x["t"])).alias("texts"))
-    plain = {r[lang]: " ".join(letters_of(pa.array(r["texts"], pa.string())).to_pylist()) for r in rows.collect()}
-    # The commonest language first: it wins ties.
-    return {r[lang]: plain[r[lang]].encode()[-DICTIONARY:] for r in counts if plain.get(r[lang], "").strip()}
+    rows = rows.select("lang", "n", F.posexplode("cut").alias("turn", "piece"))
+    # A piece has a byte or more for each of its characters; only the last of a text and pieces with few letters are shorter.
+    enough = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "n"))
+    rows = rows.withColumn("place", enough).where(F.col("place") <= 4 * max(SAMPLE_DOCS, size // PIECE_CHARS))
+    held: dict[str, list] = {}
+    for r in rows.select("lang", "place", "piece").collect():
+        held.setdefault(r["lang"], []).append((r["place"], r["piece"]))
+    out = {}
+    for name in labels:  # The commonest language first: it wins ties.
+        texts = [x.strip() for x in letters_of(pa.array([t for _, t in sorted(held.get(name, []))], pa.string())).to_pylist()]
+        plain = b" ".join(x.encode() for x in dict.fromkeys(texts) if x)[:size]
+        if plain:
+            out[name] = plain
+    return out
 
 
 def letters_of(texts: pa.Array) -> pa.Array:
@@ -68,7 +88,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     """
     rest = [c for c in docs.columns if c not in (text, "lang_pred", "score", "accepted")]
     fields = [docs.schema[c] for c in rest] + [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("accepted", BooleanType())]
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # LANGUAGES * DICTIONARY bytes at most
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # TOTAL bytes at most
     names = list(dictionaries)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
