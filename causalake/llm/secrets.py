@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import pieces, read, split_words, texts_of
+from .common import pieces, read, split_words, texts_of, written
 
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "guess")
@@ -154,7 +154,8 @@ def word_ranks(docs: DataFrame, text: str = "text") -> dict[str, int]:
     """Ranks of common password words, then of the corpus's FITTED commonest words, counted over all whole texts.
 
     Words are runs of SHORTEST to LONGEST letters a-z, in either case; equal counts go by the word. Each piece of texts is
-    counted before the shuffle, and FITTED words at most come to the driver. Null and empty texts have no words.
+    counted before the shuffle. Words are taken in whole bins of counts (a sixteenth of a doubling) while FITTED or fewer are
+    in them, so no more than that come to the driver. Null and empty texts have no words.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +168,15 @@ def word_ranks(docs: DataFrame, text: str = "text") -> dict[str, int]:
             yield pa.RecordBatch.from_pydict({"word": held.field("values"), "n": held.field("counts")})
 
     counts = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = written(counts.withColumn("bin", F.floor(F.log2("n") * 16)), "word-counts")
+    cut, taken = 0, 0
+    for r in sorted(counts.groupBy("bin").count().collect(), reverse=True):  # 16 * 63 bins at most
+        taken += r["count"]
+        if taken > FITTED:
+            cut = r["bin"] + 1
+            break
     ranks = dict(RANKS)
-    for r in counts.orderBy(F.desc("n"), "word").limit(FITTED).collect():
+    for r in sorted(counts.where(F.col("bin") >= cut).collect(), key=lambda r: (-r["n"], r["word"])):
         ranks.setdefault(r["word"], len(ranks) + 1)
     return ranks
 

@@ -82,12 +82,15 @@ def test_contexts():
     assert spans("login: notwithstanding", ranks=secrets.RANKS | {"notwithstanding": 9_000}) == []
 
 
-def test_word_ranks(spark):
+def test_word_ranks(spark, monkeypatch):
     rows = [("Zebra zebra ox; the",), (None,), ("",), ("a zebra's quagga, QUAGGA",), ("w" * 30 + " été",)]
     got = secrets.word_ranks(spark.createDataFrame(rows, "text string"))
     n = len(secrets.RANKS)
     assert {w: r - n for w, r in got.items() if r > n} == {"zebra": 1, "quagga": 2}
     assert secrets.word_ranks(spark.createDataFrame([], "text string")) == secrets.RANKS
+    monkeypatch.setattr(secrets, "FITTED", 2)  # a bin that doesn't fit whole is left out
+    text = "lynx " * 9 + "puma puma ibex ibex"
+    assert set(secrets.word_ranks(spark.createDataFrame([(text,)], "text string"))) - set(secrets.RANKS) == {"lynx"}
 
 
 def test_long_texts_take_linear_time():
