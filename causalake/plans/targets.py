@@ -76,7 +76,9 @@ SELECT ids.graph_id, ids.node AS treatment, d.hops::INT AS hops, round(CASE WHEN
 FROM ids LEFT JOIN d ON d.graph_id = ids.graph_id AND d.node = ids.node LEFT JOIN u ON u.graph_id = ids.graph_id AND u.node = ids.node""",
 )
 def _(spark, sf):
-    return PA.path_strength(*outcome_graph(spark, sf)).select("graph_id", "treatment", "hops", F.round("path_strength", 6).alias("strength"))
+    # Rounded in binary, as the SQL engine does: products of short weights fall on decimal ties, which F.round takes upward.
+    micro = F.floor(F.col("path_strength") * 1e6 + 0.5) / 1e6
+    return PA.path_strength(*outcome_graph(spark, sf)).select("graph_id", "treatment", "hops", micro.alias("strength"))
 
 
 @query("node_degrees", f"WITH {COLLISIONS_SQL}, e AS (SELECT graph_id, source_id AS node_id, 0 AS i, 1 AS o FROM resolved UNION ALL SELECT graph_id, target_id, 1, 0 FROM resolved) SELECT graph_id, node_id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM e GROUP BY 1, 2")
