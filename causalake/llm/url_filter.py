@@ -32,29 +32,38 @@ def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
-def _bit(key: Column, word: int) -> Column:
-    turn = F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 5 * word).bitwiseAND(F.lit(31)).cast("int")
-    return F.call_function("shiftleft", F.lit(1), turn)
+def _bit(turn: Column, word: int) -> Column:
+    """The bit of a word that a key's second hash picks."""
+    return F.call_function("shiftleft", F.lit(1), F.shiftrightunsigned(turn, 5 * word).bitwiseAND(F.lit(31)).cast("int"))
 
 
 def bloom(rules: DataFrame, key: str, blocks: int) -> DataFrame:
     """One row, one array of blocks * 8 integers: the split-block Bloom filter of rules[key]."""
-    words = [F.bit_or(_bit(F.col(key), i)).alias(f"w{i}") for i in range(WORDS)]
+    words = [F.bit_or(_bit(F.xxhash64(key, F.lit(7)), i)).alias(f"w{i}") for i in range(WORDS)]
     held = rules.groupBy(_block(F.col(key), blocks).alias("block")).agg(*words)
     every = rules.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block")).join(held, "block", "left")
     row = F.struct("block", F.array(*(F.coalesce(f"w{i}", F.lit(0)) for i in range(WORDS))).alias("w"))
     return every.agg(F.flatten(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["w"])).alias("bloom"))
 
 
-def may_hold(key: Column, filled: Column, blocks: int) -> Column:
-    """Whether all bits of the key are set in its block."""
-    at = _block(key, blocks) * WORDS
+def _all_set(at: Column, turn: Column, filled: Column) -> Column:
     out = F.lit(True)
     for i in range(WORDS):
-        out = out & (F.get(filled, at + i).bitwiseAND(_bit(key, i)) != 0)
+        out = out & (F.get(filled, at + i).bitwiseAND(_bit(turn, i)) != 0)
     return out
 
 
+def may_hold(key: Column, filled: Column, blocks: int) -> Column:
+    """Whether all bits of the key are set in its block."""
+    return _all_set(_block(key, blocks) * WORDS, F.xxhash64(key, F.lit(7)), filled)
+
+
+def possible(keys: Column, filled: Column, blocks: int) -> Column:
+    """Those of an array of keys that the filter may hold; each key is hashed once."""
+    seeded = F.transform(keys, lambda k: F.struct(k.alias("key"), (_block(k, blocks) * WORDS).alias("at"), F.xxhash64(k, F.lit(7)).alias("turn")))
+    return F.transform(F.filter(seeded, lambda k: _all_set(k["at"], k["turn"], filled)), lambda k: k["key"])
+
+
 def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """pages with host, path, rule and verdict.
 
@@ -65,9 +74,10 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
     no rule. Repeated rows stay. Columns of pages that are called host, path, rule or verdict are replaced.
     An empty list gives every url the default.
 
-    Nothing grows with pages but one exchange of the rows themselves; the filter has at most
-    MOST_BLOCKS blocks however long the list, and the list is joined by whichever join Spark finds for
-    its size.
+    The filter has at most MOST_BLOCKS blocks (2 MB) however long the list; it is built once and tested in
+    each row, so a url whose keys it all refutes is read, answered and never shuffled. Urls with possible hits
+    are joined with the list by whichever join Spark finds for its size, and grouped again. Urls are tested
+    whole, whatever their length.
     """
     pages = pages.drop("host", "path", "rule", "verdict")
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("_host"), F.col("path").alias("_path"), F.col("verdict").alias("_verdict"))
@@ -81,21 +91,22 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
         blocks *= 2
 
     rows = pages.select(F.struct(*pages.columns).alias("_row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.select(F.monotonically_increasing_id().alias("_id"), "*")
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     cuts = F.filter(lengths, lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(cuts, lambda n: F.concat(h, F.substring(F.col("path"), F.lit(1), n)))))
-    tried = rows.select("*", F.posexplode(F.concat(F.array(F.lit("")), keys)).alias("_at", "_try"))
-    # Row 0 of each url stands for the url itself, whatever the filter says; its key can equal no listed one.
-    held = bloom(rules, "_key", blocks).scalar()
-    tried = tried.where((F.col("_at") == 0) | may_hold(F.col("_try"), held, blocks))
-    tried = tried.withColumn("_try", F.when(F.col("_at") == 0, F.concat(F.lit("\0"), F.col("_id").cast("string"))).otherwise(F.col("_try")))
+    # The filter's words as one constant: Spark folds the text into an array when it plans the query.
+    words = bloom(rules, "_key", blocks).select(F.array_join(F.col("bloom").cast("array<string>"), ",")).first()[0]
+    tries = possible(keys, F.split(F.lit(words), ",").cast("array<int>"), blocks)
+    rows = rows.select(F.monotonically_increasing_id().alias("_id"), "*", tries.alias("_tries"))
+    unlisted = rows.where(F.size("_tries") == 0)
+    tried = rows.select("_id", "_row", "host", "path", F.explode("_tries").alias("_try"))
     fits = (F.col("_try") == F.col("_key")) & F.col("path").startswith(F.col("_path"))
     found = tried.join(rules, fits, "left")
     best = F.max(F.when(F.col("_key").isNotNull(), F.struct(F.length("_key").alias("n"), F.length("_host").alias("h"), F.col("_key").alias("rule"), F.col("_verdict").alias("verdict"))))
-    out = found.groupBy("_id").agg(F.first(F.when(F.col("_at") == 0, F.struct("_row", "host", "path")), ignorenulls=True).alias("_kept"), best.alias("_best"))
-    return out.select("_kept._row.*", "_kept.host", "_kept.path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    listed = found.groupBy("_id").agg(F.first(F.struct("_row", "host", "path")).alias("_kept"), best.alias("_best"))
+    listed = listed.select("_kept._row.*", "_kept.host", "_kept.path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    return listed.union(unlisted.select("_row.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 #: The rules of the contract: (verdict, host, path).
