@@ -21,8 +21,8 @@ from .common import hash_strings, mix, pieces, read, run_starts, split_words, te
 
 #: Buckets of n-grams; labelled target documents that the target model is fitted on, in hash order, at most.
 BUCKETS, TARGETS = 1 << 18, 50_000
-#: Pseudo-counts that draw a bucket's ratio toward 1; a ratio counts where counts differ by so many standard deviations.
-PRIOR, SURE = 5.0, 5.0
+#: Pseudo-count of each bucket in both models; it alone draws the ratio of rare buckets toward 1.
+PRIOR = 5.0
 #: Rows among which the cut of the top k is found by value; bins of each step toward it.
 FEW, BINS = 10_000, 4096
 
@@ -61,19 +61,13 @@ def model(texts: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """log of target over raw probability by bucket, with the median bucket at zero and ratios that may be chance at zero.
+    """log of target over raw probability by bucket; raw counts are scaled to the target's total before the pseudo-count.
 
-    All ordinary n-grams are a little commoner in the target, as raw text has others besides; left in, that
-    would favour documents merely for being long, and chance differences of rare buckets would add up.
+    All zeros if either text has no n-gram.
     """
     if not target.sum() or not raw.sum():
         return np.zeros(BUCKETS)
-    p = raw / raw.sum()
-    expected = p * target.sum()
-    # What is to be told apart is raw text that isn't like the target; scale to what both have in common.
-    expected *= np.median((target[raw > 0] + PRIOR) / (expected[raw > 0] + PRIOR))
-    ratio = np.log((target + PRIOR) / (expected + PRIOR))
-    return np.where(np.abs(target - expected) > SURE * np.sqrt(expected + PRIOR), ratio, 0.0)
+    return np.log((target + PRIOR) / (raw * (target.sum() / raw.sum()) + PRIOR))
 
 
 def weighed(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
