@@ -29,11 +29,11 @@ SHARD_BYTES = 12 << 20
 INDEX_WORDS = MOST // 4
 #: Bytes of text that one task cuts into segments at a time.
 PIECE_BYTES = 4 << 20
-#: What documents are told directly goes by this many further groups.
+#: What documents are told directly goes by this many further groups, or by as many as there are shards.
 DIRECT = 4096
 
 SENT = "shard long, docs binary, marks binary, starts binary, sizes binary, tags binary, texts binary"
-TOLD = "_doc long, _mark int, starts array<int>, ends array<int>"
+TOLD = "_doc long, _mark long, starts array<int>, ends array<int>"
 
 
 def _pack(x: np.ndarray, level: int = 3) -> bytes:
@@ -99,7 +99,7 @@ def sender(shards: int):
             if not len(first):
                 continue
             docs = piece.column("_doc").to_numpy(zero_copy_only=False)
-            marks = piece.column("_mark").to_numpy(zero_copy_only=False).astype(np.uint16)
+            marks = piece.column("_mark").to_numpy(zero_copy_only=False)
             at = run_starts(counts)
             row = np.searchsorted(at, first, side="right") - 1
             offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
@@ -135,7 +135,7 @@ def sender(shards: int):
             if gone:
                 k = np.array(gone)
                 k = k[np.lexsort((first[k], row[k]))]
-                to = -1 - (mix(docs[row[k]].astype(np.uint64)) % np.uint64(DIRECT)).astype(np.int64)
+                to = -1 - (mix(docs[row[k]].astype(np.uint64)) % np.uint64(max(DIRECT, shards))).astype(np.int64)
                 k = k[np.argsort(to, kind="stable")]
                 to = np.sort(to)
                 edge = np.flatnonzero(np.append(True, to[1:] != to[:-1])).tolist() + [len(to)]
@@ -152,7 +152,7 @@ def sender(shards: int):
 
 def told(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
     """Ranges merged for each document, a row for each."""
-    kind = pa.schema([("_doc", pa.int64()), ("_mark", pa.int32()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+    kind = pa.schema([("_doc", pa.int64()), ("_mark", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
     if not len(doc):
         return kind.empty_table()
     order = np.lexsort((start, mark, doc))
@@ -169,14 +169,14 @@ def told(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray)
     starts, ends = start[first].astype(np.int32), (reach[last] - base[last]).astype(np.int32)
     at = np.append(np.flatnonzero(head[first]), len(first)).astype(np.int32)
     rows = first[head[first]]
-    return pa.table([pa.array(doc[rows]), pa.array(mark[rows].astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(starts)), pa.ListArray.from_arrays(pa.array(at), pa.array(ends))], schema=kind)
+    return pa.table([pa.array(doc[rows]), pa.array(mark[rows]), pa.ListArray.from_arrays(pa.array(at), pa.array(starts)), pa.ListArray.from_arrays(pa.array(at), pa.array(ends))], schema=kind)
 
 
 def shard_ranges(table: pa.Table) -> pa.Table:
     """The repeated word ranges that one shard finds."""
     cols = {c: table.column(c).to_pylist() for c in table.column_names}
     doc = np.concatenate([np.cumsum(_unpack(x, np.int64)) for x in cols["docs"]])
-    mark = np.concatenate([_unpack(x, np.uint16) for x in cols["marks"]]).astype(np.int64)
+    mark = np.concatenate([_unpack(x, np.int64) for x in cols["marks"]])
     start = np.concatenate([_unpack(x, np.int32) for x in cols["starts"]]).astype(np.int64)
     size = np.concatenate([_unpack(x, np.uint16) for x in cols["sizes"]]).astype(np.int64)
     if cols["shard"][0] < 0:
@@ -297,7 +297,7 @@ def _search(texts: list[bytes], doc: np.ndarray, mark: np.ndarray, start: np.nda
 
 
 def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_doc, _mark (16 bits of a hash of the text), starts, ends: repeated word ranges, in several rows for a document."""
+    """_doc, _mark (a 64-bit hash of the text), starts, ends: repeated word ranges, in several rows for a document."""
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_doc"), _mark(text).alias("_mark"), F.col(text).alias("_text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(16, -(-size * 3 // SHARD_BYTES))
@@ -305,7 +305,8 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def _mark(text: str):
-    return F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int")
+    """Tells rows with the same key apart."""
+    return F.xxhash64(text)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
