@@ -6,13 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col, match_key, starts_with_any
+from .bio_tables import DISEASE_NAMES, ENTRY_FACTORS, ENTRY_TERMS, MARKER_FAMILIES
 
-# Disease patterns in order of precedence, cancer words, immune prefixes and genes, cytokines.
-DISEASES = {
-    "hiv": "infectious_viral", "hiv-1": "infectious_viral", "hiv/aids": "infectious_viral", "aids": "infectious_viral", "covid-19": "infectious_viral", "sars-cov-2": "infectious_viral",
-    "ebola": "infectious_viral", "ebola virus disease": "infectious_viral", "hepatitis b": "infectious_viral", "hepatitis c": "infectious_viral", "influenza": "infectious_viral", "dengue": "infectious_viral", "zika": "infectious_viral",
-    "malaria": "infectious_parasitic",
-}
+# Cancer words, immune prefixes and genes, cytokines.
 CANCER = ("cancer", "carcinoma", "sarcoma", "blastoma", "oma", "leukemia", "lymphoma", "myeloma")
 INFECTIOUS = ("infectious_viral", "infectious_parasitic", "infectious_bacterial")
 IMMUNE_PREFIXES = ("TLR", "NOD", "NLRP", "RIG", "DDX58", "IFIH1", "STING", "TMEM173", "MAVS", "HLA-", "MHC")
@@ -25,7 +21,7 @@ CYTOKINES = ("TNF", "IL6", "IL1B", "CXCL8", "IL10")
 
 def disease_class(name, table: dict[str, str] | None = None) -> Column:
     """Exact name, then the first pattern that contains or is contained, then cancer words, then other."""
-    table, key = table or DISEASES, match_key(name)
+    table, key = table or DISEASE_NAMES, match_key(name)
     out = F.when(F.lit(False), F.lit(""))
     for k, v in table.items():
         out = out.when(key == k, v)
@@ -52,12 +48,27 @@ def target_class(gene, disease, markers: Column, invades: Column, supported: Col
     )
 
 
-def classified_targets(genes: DataFrame, markers: DataFrame, invasion: DataFrame) -> DataFrame:
-    """genes (gene, disease_class, supported) with family and target_type; markers: (gene, family), invasion: (gene)."""
+def _listed(genes: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return genes.sparkSession.createDataFrame(rows, schema)
+
+
+def classified_targets(genes: DataFrame, markers: DataFrame | None = None, invasion: DataFrame | None = None) -> DataFrame:
+    """genes (gene, disease_class, supported) with family and target_type; markers: (gene, family), invasion: (gene).
+
+    Without markers or invasion, the fixed families and entry factors count. Where genes has `go_terms` (an array), a
+    term of entry makes a gene an entry factor too.
+    """
+    if markers is None:
+        markers = _listed(genes, [(g, family) for family, held in MARKER_FAMILIES.items() for g in held.split()], "gene string, family string")
+    if invasion is None:
+        invasion = _listed(genes, [(g,) for g in ENTRY_FACTORS.split()], "gene string")
     m = markers.select(match_key("gene").alias("_k"), "family").dropDuplicates(["_k"])
     i = invasion.select(match_key("gene").alias("_k"), F.lit(True).alias("_i")).distinct()
     rows = genes.withColumn("_k", match_key("gene")).join(m, "_k", "left").join(i, "_k", "left")
-    kind = target_class("gene", "disease_class", F.col("family").isNotNull(), F.coalesce("_i", F.lit(False)), F.col("supported"))
+    enters = F.coalesce("_i", F.lit(False))
+    if "go_terms" in genes.columns:
+        enters = enters | F.coalesce(F.arrays_overlap("go_terms", F.array(*map(F.lit, ENTRY_TERMS))), F.lit(False))
+    kind = target_class("gene", "disease_class", F.col("family").isNotNull(), enters, F.col("supported"))
     return rows.withColumn("target_type", kind).drop("_k", "_i")
 
 

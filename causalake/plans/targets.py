@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import molecules as FM
 from ..functions import proteins as FP
 from ..functions import scores as S
+from ..operators import bio_tables as BT
 from ..operators import causal as C
 from ..operators import evidence as E
 from ..operators import graph as G
@@ -487,6 +488,45 @@ def _(spark, sf):
     return classified_targets(genes, markers, invasion).select("id", "target_type")
 
 
+#: Whole and altered names of every disease of the fixed table, a name for each part.
+DISEASE_NAMES_SQL = f"""WITH t(i, name, class) AS (VALUES {", ".join(f"({i}, '{k.replace(chr(39), chr(39) * 2)}', '{v}')" for i, (k, v) in enumerate(BT.DISEASE_NAMES.items()))}),
+d AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN ' ' || upper(name) || ' ' WHEN 1 THEN 'Chronic ' || name WHEN 2 THEN name ELSE left(name, 3) || '-carcinoma' END AS name FROM part JOIN t ON i = p_partkey % {len(BT.DISEASE_NAMES)}),
+k AS (SELECT id, name, lower(trim(name)) AS key FROM d),
+m AS (SELECT k.id, min_by(t.class, CASE WHEN t.name = k.key THEN -1 ELSE t.i END) AS class FROM k JOIN t ON contains(k.key, t.name) OR contains(t.name, k.key) GROUP BY 1)
+SELECT k.id, k.name, coalesce(m.class, CASE WHEN regexp_matches(key, 'cancer|carcinoma|sarcoma|blastoma|oma|leukemia|lymphoma|myeloma') THEN 'cancer' ELSE 'other' END) AS class FROM k LEFT JOIN m USING (id)"""
+
+
+@query("disease_names", DISEASE_NAMES_SQL)
+def _(spark, sf):
+    from ..operators.biology import disease_class
+
+    names, k, id_ = F.array(*map(F.lit, BT.DISEASE_NAMES)), F.col("p_partkey") % 4, F.col("p_partkey")
+    name = F.get(names, (id_ % len(BT.DISEASE_NAMES)).cast("int"))
+    name = F.when(k == 0, F.concat(F.lit(" "), F.upper(name), F.lit(" "))).when(k == 1, F.concat(F.lit("Chronic "), name)).when(k == 2, name).otherwise(F.concat(F.substring(name, 1, 3), F.lit("-carcinoma")))
+    return P.table(spark, sf, "part").select(id_.alias("id"), name.alias("name")).select("id", "name", disease_class("name").alias("class"))
+
+
+GENES = [g for held in BT.MARKER_FAMILIES.values() for g in held.split()] + BT.ENTRY_FACTORS.split() + ["TNF", "IL6", "TLR4", "HLA-A", "STAT1", "EGFR", "TP53"]
+CLASSES = ["infectious_viral", "autoimmune", "infectious_bacterial", "cancer", "infectious_parasitic"]
+TARGET_FAMILIES_SQL = f"""WITH g(i, gene) AS (VALUES {", ".join(f"({i}, '{g}')" for i, g in enumerate(GENES))}),
+f(gene, family) AS (VALUES {", ".join(f"('{g}', '{family}')" for family, held in BT.MARKER_FAMILIES.items() for g in held.split())}),
+r AS (SELECT p_partkey AS id, gene, [{", ".join(f"'{c}'" for c in CLASSES)}][(p_partkey % 5 + 1)::INT] AS c, p_size % 2 = 0 AS supported FROM part JOIN g ON i = p_partkey % {len(GENES)})
+SELECT id, family, CASE WHEN family IS NOT NULL AND c LIKE 'infectious%' THEN 'host_symptom' WHEN gene IN ('TNF', 'IL6') AND c LIKE 'infectious%' THEN 'host_symptom'
+ WHEN gene IN ('TNF', 'IL6', 'TLR4', 'HLA-A', 'STAT1', 'CD4') AND c LIKE 'infectious%' THEN 'host_immune' WHEN gene IN ('TNF', 'IL6', 'TLR4', 'HLA-A', 'STAT1', 'CD4') AND c = 'autoimmune' THEN 'host_invasion'
+ WHEN gene IN ({", ".join(f"'{g}'" for g in BT.ENTRY_FACTORS.split())}) AND c LIKE 'infectious%' THEN 'host_invasion' WHEN NOT supported THEN 'correlational' ELSE 'host_invasion' END AS target_type
+FROM r LEFT JOIN f USING (gene)"""
+
+
+@query("target_families", TARGET_FAMILIES_SQL)
+def _(spark, sf):
+    from ..operators.biology import classified_targets
+
+    id_ = F.col("p_partkey")
+    pick = lambda held: F.get(F.array(*map(F.lit, held)), (id_ % len(held)).cast("int"))
+    genes = P.table(spark, sf, "part").select(id_.alias("id"), pick(GENES).alias("gene"), pick(CLASSES).alias("disease_class"), (F.col("p_size") % 2 == 0).alias("supported"))
+    return classified_targets(genes).select("id", "family", "target_type")
+
+
 @query("tissue_gate", "WITH e AS (SELECT DISTINCT 'G' || (l_partkey % 50)::VARCHAR AS gene, l_returnflag AS t FROM lineitem WHERE l_quantity > 49), g AS (SELECT DISTINCT 'G' || (p_partkey % 60)::VARCHAR AS gene FROM part), c AS (SELECT gene, count(*) AS n, count_if(t = 'A') AS k FROM e GROUP BY 1) SELECT gene, n IS NULL OR k > 0 AS tissue_relevant, CASE WHEN n IS NULL THEN 0.0 ELSE round(k / n, 4) END::DOUBLE AS coverage FROM g LEFT JOIN c USING (gene)")
 def _(spark, sf):
     from ..operators.biology import tissue_gate
