@@ -281,7 +281,14 @@ def drug_targets(spark, sf) -> DataFrame:
     from ..sources.drugs import roll_up, star
 
     t = lambda n: P.table(spark, sf, n)
-    return roll_up(star(t("customer"), t("orders"), t("lineitem"), t("part"), t("supplier"), t("nation"), "f", "auto"))
+    # Orders as indications, lines as mechanisms, parts as targets, suppliers as components, nations as their sequences.
+    indications = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    indications = indications.select(F.col("o_orderkey").alias("molregno"), F.col("o_orderstatus").alias("mesh_heading"), F.col("c_mktsegment").alias("efo_term"), F.col("c_mktsegment").alias("drug"), F.col("o_orderpriority").alias("mechanism_of_action"))
+    mechanisms = t("lineitem").select(F.col("l_orderkey").alias("molregno"), F.col("l_partkey").alias("tid"), (F.col("l_linenumber") % 5).alias("max_phase_for_ind"))
+    targets = t("part").select(F.col("p_partkey").alias("tid"), F.col("p_name").alias("pref_name"), F.col("p_brand").alias("organism"), F.col("p_type").alias("target_type"))
+    components = t("supplier").select(F.col("s_suppkey").alias("tid"), F.col("s_nationkey").alias("component_id"))
+    sequences = t("nation").select(F.col("n_nationkey").alias("component_id"), F.col("n_name").alias("accession"))
+    return roll_up(star(indications, None, mechanisms, targets, components, sequences, "f", "auto"))
 
 
 @query("top_drug_targets", f"WITH {STAR}, r AS ({ROLL}), t AS (SELECT * FROM r ORDER BY max_phase DESC, n_drugs DESC, tid LIMIT 50) SELECT tid, max_phase, n_drugs FROM t WHERE tid % 4 <> 0")

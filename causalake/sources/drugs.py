@@ -9,17 +9,31 @@ from ..functions.scores import drug_evidence
 
 # Target types that are no proteins, and generic names that are no symbols.
 NO_PROTEIN = ("organism", "cell-line", "tissue", "unknown")
-
-
-def star(indications: DataFrame, drugs: DataFrame, mechanisms: DataFrame, targets: DataFrame, components: DataFrame, synonyms: DataFrame, term: str, other: str) -> DataFrame:
-    """tid, drug, mechanism, phase, organism of drugs indicated for a disease: three inner and two outer joins.
-
-    The tables bear the driver's names; the filter on names is `contains`, so that % and _ mean themselves.
+NO_SYMBOL = (
+    "reverse", "transcriptase", "protease", "integrase",
+    "polymerase", "reductase", "synthase", "synthetase",
+    "kinase", "transferase", "transporter", "receptor",
+    "inhibitor", "activator", "regulator", "protein",
+    "antigen", "toxin", "capsid", "envelope",
+)
+
+
+def star(indications: DataFrame, molecules: DataFrame | None, mechanisms: DataFrame, targets: DataFrame, components: DataFrame, sequences: DataFrame, term: str, other: str | None = None) -> DataFrame:
+    """Targets of the drugs indicated for a disease: three inner and two outer joins over tables in ChEMBL's layout.
+
+    indications: molregno, mesh_heading, efo_term; molecules: molregno, pref_name (None where indications already has
+    `drug`); mechanisms: molregno, tid; targets: tid, pref_name, organism, target_type; components: tid, component_id;
+    sequences: component_id, accession. mechanism_of_action and max_phase_for_ind may come with indications or
+    mechanisms. A heading that contains `term`, or an EFO term that contains `other` (`term` if null), is the
+    disease; the test is `contains`, so that % and _ mean themselves. Null headings and terms are no match.
     """
-    named = F.lower("o_orderstatus").contains(term) | F.lower("c_mktsegment").contains(other)
-    held = indications.join(drugs, F.col("o_custkey") == F.col("c_custkey")).where(named).join(mechanisms, F.col("l_orderkey") == F.col("o_orderkey"))
-    held = held.join(targets, F.col("p_partkey") == F.col("l_partkey")).join(components, F.col("s_suppkey") == F.col("l_suppkey"), "left").join(synonyms, F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    return held.select(F.col("l_partkey").alias("tid"), F.col("c_mktsegment").alias("drug"), F.col("o_orderpriority").alias("mechanism"), (F.col("l_linenumber") % 5).cast("int").alias("phase"), F.col("n_name").alias("organism"))
+    named = F.coalesce(F.lower("mesh_heading").contains(term.lower()), F.lit(False)) | F.coalesce(F.lower("efo_term").contains((other or term).lower()), F.lit(False))
+    held = indications.where(named)
+    if molecules is not None:
+        held = held.join(molecules.select("molregno", F.col("pref_name").alias("drug")), "molregno")
+    held = held.join(mechanisms, "molregno").join(targets.select("tid", F.col("pref_name").alias("target_name"), "organism", "target_type"), "tid")
+    held = held.join(components.select("tid", "component_id"), "tid", "left").join(sequences.select("component_id", "accession"), "component_id", "left")
+    return held.select("tid", "target_name", "target_type", "organism", "component_id", "accession", "drug", F.col("mechanism_of_action").alias("mechanism"), F.col("max_phase_for_ind").cast("int").alias("phase"))
 
 
 def roll_up(rows: DataFrame) -> DataFrame:
@@ -39,10 +53,10 @@ def human_symbols(synonyms: DataFrame) -> DataFrame:
     return synonyms.where("syn_type = 'GENE_SYMBOL'").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("component_id", F.col("synonym").alias("symbol"))
 
 
-def pathogen_symbols(synonyms: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
+def pathogen_symbols(synonyms: DataFrame, stop: tuple[str, ...] = NO_SYMBOL) -> DataFrame:
     """component_id, symbol: the shortest acceptable gene symbol, else the shortest short accession-like synonym."""
     s, n = F.col("synonym"), F.length("synonym")
-    gene = (F.col("syn_type") == "GENE_SYMBOL") & (n >= 2) & ~F.lower(s).isin(*stop or ("",))
+    gene = (F.col("syn_type") == "GENE_SYMBOL") & (n >= 2) & ~F.lower(s).isin(*(stop or ("",)))
     other = (F.col("syn_type") == "UNIPROT") & (n <= 15) & ~s.contains(" ") & s.rlike("[A-Z]")
     rank = F.when(gene, 0).when(other, 1)
     rows = synonyms.withColumn("_r", rank).where("_r is not null")
