@@ -1,196 +1,152 @@
-"""Identification by the backdoor criterion, cyclic components, betweenness and counterfactual propagation.
+"""Identification by the backdoor criterion, set-wise over all graphs, and counterfactual propagation.
 
-One small graph at a time in grouped maps, all graphs in parallel: a group is one disease's graph, bounded by the caps
-of graph assembly. d-separation is decided by reachability of active trails.
+A pair's adjustment sets are searched by three facts. If any set of the pool separates treatment and outcome, the pool's own
+ancestors of the pair do, so one test settles hopeless pairs. Sets of the least size hold ancestors alone, for which separation
+is a search through the moral graph of those ancestors. And every separating set meets every open trail, so a set grows
+by the pool's members on one open trail at a time, at most three. Each round tests all sets of all pairs by frontier joins.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import CAUSAL_EDGES, GENETIC, MAX_POOL, MAX_SET
+from ..runtime import Grown, counted, cut
+from ..schemas import CAUSAL_EDGES, MAX_POOL, MAX_SET
+from .components import closure, cyclic_components
+from .graph import admissible
 
+PAIR = ["graph_id", "treatment", "outcome"]
 
-class Digraph:
-    """A directed graph as child and parent sets."""
 
-    def __init__(self, pairs) -> None:
-        self.children, self.parents = defaultdict(set), defaultdict(set)
-        for a, b in pairs:
-            self.children[a].add(b)
-            self.parents[b].add(a)
-        self.nodes = set(self.children) | set(self.parents)
-
-    def without(self, gone: set) -> Digraph:
-        return Digraph((a, b) for a in self.nodes for b in self.children.get(a, ()) if a not in gone and b not in gone)
-
-    def without_out_edges(self, node) -> Digraph:
-        return Digraph((a, b) for a in self.nodes for b in self.children.get(a, ()) if a != node)
-
-    def closure(self, start, back: bool = False) -> set:
-        """All nodes reachable from start, without it unless on a cycle."""
-        step = self.parents if back else self.children
-        seen, queue = set(), deque(step.get(start, ()))
-        while queue:
-            n = queue.popleft()
-            if n not in seen:
-                seen.add(n)
-                queue.extend(step.get(n, ()))
-        return seen
-
-    def cyclic(self) -> list[set]:
-        """Components of mutually reachable nodes, and self-loops."""
-        out, seen = [], set()
-        for n in sorted(self.nodes):
-            if n not in seen and n in (down := self.closure(n)):
-                part = {n} | (down & self.closure(n, back=True))
-                seen |= part
-                out.append(part)
-        return out
-
-
-def separated(graph: Digraph, x, y, given: frozenset) -> bool:
-    """Whether given blocks every trail between x and y: search over (node, direction of arrival)."""
-    above = set(given)
-    for z in given:
-        above |= graph.closure(z, back=True)
-    seen, queue = set(), deque([(x, "up")])
-    while queue:
-        n, way = queue.popleft()
-        if (n, way) in seen:
-            continue
-        seen.add((n, way))
-        if n == y and n not in given:
-            return False
-        if way == "up" and n not in given:
-            queue.extend((p, "up") for p in graph.parents.get(n, ()))
-            queue.extend((c, "down") for c in graph.children.get(n, ()))
-        elif way == "down":
-            if n not in given:
-                queue.extend((c, "down") for c in graph.children.get(n, ()))
-            if n in above:
-                queue.extend((p, "up") for p in graph.parents.get(n, ()))
-    return True
-
-
-def satisfies_backdoor(graph: Digraph, x, y, given: frozenset) -> bool:
-    if y in given or x in given or given & graph.closure(x):
-        return False
-    return separated(graph.without_out_edges(x), x, y, given)
-
-
-def is_admissible(edge_type: str, evidence_class: str | None) -> bool:
-    return edge_type in CAUSAL_EDGES or (edge_type == "associated_with" and evidence_class in GENETIC)
-
-
-def identify(edges: list[tuple], scores: dict, x, y, most: int = MAX_SET, pool: int = MAX_POOL) -> dict:
-    """The verdict on one pair. edges: (source, target, type, class) of the full graph.
-
-    A route that only leads through a cyclic node is no causal path. Sets are tried smallest first, then in
-    the pool's order: node score from the highest, then name.
-    """
-    nodes = {n for e in edges for n in e[:2]} | set(scores)
-    out = {"identifiable": False, "adjustment_set": [], "n_near_miss": 0, "truncated": False}
-    if x not in nodes:
-        return out | {"reason": "treatment_absent"}
-    if y not in nodes:
-        return out | {"reason": "outcome_absent"}
-    full = Digraph((a, b) for a, b, t, c in edges if is_admissible(t, c))
-    loops = set().union(*full.cyclic()) if full.nodes else set()
-    if x in loops or y in loops:
-        return out | {"reason": "cyclic_component"}
-    dag = full.without(loops)
-    below = dag.closure(x)
-    if y not in below:
-        return out | {"reason": "no_causal_path"}
-    regulators = {a for a, b, t, c in edges if b == x and a not in (x, y) and t in CAUSAL_EDGES}
-    weak = {a for a, b, t, c in edges if b == y and not is_admissible(t, c)}
-    out["n_near_miss"] = len(regulators & weak)
-    rest = sorted(dag.nodes - below - {x, y}, key=lambda n: (-scores.get(n, 0.0), n))
-    out["truncated"] = len(rest) > pool
-    rest = rest[:pool]
-    for size in range(min(most, len(rest)) + 1):
-        for given in combinations(rest, size):
-            if satisfies_backdoor(dag, x, y, frozenset(given)):
-                return out | {"identifiable": True, "adjustment_set": list(given), "reason": "identifiable_by_adjustment" if given else "identifiable_trivially", "truncated": False}
-    out["truncated"] |= len(rest) > most
-    return out | {"reason": "no_valid_adjustment_set"}
-
-
-def _grouped(edges: DataFrame, pairs: DataFrame, run, schema: str) -> DataFrame:
-    cols = ["source_id", "target_id", "edge_type", "evidence_class"]
-    # New names, as both sides may come from one table.
-    e = edges.select(F.col("graph_id").alias("_g"), *cols)
-    g = e.groupBy("_g").cogroup(pairs.toDF(*pairs.columns).groupBy("graph_id"))
-    return g.applyInPandas(run, schema)
-
-
-def identification(edges: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def identification(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, most: int = MAX_SET, pool: int = MAX_POOL) -> DataFrame:
     """graph_id, treatment, outcome, identifiable, reason, adjustment_set, n_near_miss, truncated for each pair.
 
-    nodes: graph_id, node_id, score. The scores travel with the pairs, one graph to a group.
+    nodes: graph_id, node_id, score. A route that only leads through a cyclic node is no causal path. The pool is the `pool` best
+    nodes that the treatment doesn't reach, by score from the highest (null: 0), then name; sets of up to `most` are taken smallest
+    first, then in the pool's order. A repeated pair is told once.
     """
-    known = nodes.groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.coalesce("score", F.lit(0.0))))).alias("_scores"))
-    asked = pairs.select("graph_id", "treatment", "outcome").toDF("graph_id", "treatment", "outcome").join(known, "graph_id", "left")
-    schema = "graph_id string, treatment string, outcome string, identifiable boolean, reason string, adjustment_set array<string>, n_near_miss long, truncated boolean"
-
-    def run(e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        held = list(e[["source_id", "target_id", "edge_type", "evidence_class"]].itertuples(index=False, name=None))
-        rows = []
-        for g, x, y, s in zip(p["graph_id"], p["treatment"], p["outcome"], p["_scores"], strict=True):
-            v = identify(held, dict(s) if s is not None else {}, x, y)
-            rows.append((g, x, y, v["identifiable"], v["reason"], v["adjustment_set"], v["n_near_miss"], v["truncated"]))
-        return pd.DataFrame(rows, columns=["graph_id", "treatment", "outcome", "identifiable", "reason", "adjustment_set", "n_near_miss", "truncated"])
-
-    return _grouped(edges, asked, run, schema)
-
-
-def cyclic_components(edges: DataFrame) -> DataFrame:
-    """graph_id, component, node_id of all nodes in feedback among admissible edges."""
-
-    def run(key, e: pd.DataFrame) -> pd.DataFrame:
-        pairs = [(a, b) for a, b, t, c in e[["source_id", "target_id", "edge_type", "evidence_class"]].itertuples(index=False, name=None) if is_admissible(t, c)]
-        rows = [(key[0], i, n) for i, part in enumerate(Digraph(pairs).cyclic()) for n in sorted(part)]
-        return pd.DataFrame(rows, columns=["graph_id", "component", "node_id"])
-
-    return edges.groupBy("graph_id").applyInPandas(run, "graph_id string, component int, node_id string")
-
-
-def betweenness(edges: DataFrame) -> DataFrame:
-    """graph_id, node_id, betweenness: shares of shortest paths, directed and normalised; once for each graph."""
-
-    def run(key, e: pd.DataFrame) -> pd.DataFrame:
-        g = Digraph(zip(e["source_id"], e["target_id"], strict=True))
-        total = dict.fromkeys(g.nodes, 0.0)
-        for s in g.nodes:
-            order, before, ways, far = [], defaultdict(list), defaultdict(float), {s: 0}
-            ways[s], queue = 1.0, deque([s])
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for w in g.children.get(v, ()):
-                    if w not in far:
-                        far[w] = far[v] + 1
-                        queue.append(w)
-                    if far[w] == far[v] + 1:
-                        ways[w] += ways[v]
-                        before[w].append(v)
-            share = defaultdict(float)
-            for w in reversed(order):
-                for v in before[w]:
-                    share[v] += ways[v] / ways[w] * (1 + share[w])
-                if w != s:
-                    total[w] += share[w]
-        n = len(g.nodes)
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-        return pd.DataFrame([(key[0], v, b * scale) for v, b in total.items()], columns=["graph_id", "node_id", "betweenness"])
-
-    return edges.select("graph_id", "source_id", "target_id").groupBy("graph_id").applyInPandas(run, "graph_id string, node_id string, betweenness double")
+    given = cut(edges.select("graph_id", "source_id", "target_id", "edge_type", admissible().alias("_ok")).distinct(), "identify-edges")
+    scores = cut(nodes.groupBy("graph_id", "node_id").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("score")), "identify-nodes")
+    known = given.select("graph_id", F.explode(F.array("source_id", "target_id")).alias("node_id")).unionByName(scores.select("graph_id", "node_id")).distinct()
+    held = given.where("_ok").select("graph_id", "source_id", "target_id").distinct()
+    cyclic = cut(cyclic_components(held).select("graph_id", "node_id"), "cyclic-nodes")
+    dag = held
+    for end in ("source_id", "target_id"):
+        dag = dag.join(cyclic.withColumnRenamed("node_id", end), ["graph_id", end], "left_anti")
+    dag = cut(dag, "acyclic-edges")
+
+    state = known.join(cyclic.withColumn("_c", F.lit(True)), ["graph_id", "node_id"], "left").withColumn("_c", F.coalesce("_c", F.lit(False)))
+    asked = pairs.select(*PAIR).distinct()
+    for end in ("treatment", "outcome"):
+        asked = asked.join(state.select("graph_id", F.col("node_id").alias(end), F.col("_c").alias(f"_{end}")), ["graph_id", end], "left")
+    early = F.when(F.col("_treatment").isNull(), "treatment_absent").when(F.col("_outcome").isNull(), "outcome_absent").when(F.col("_treatment") | F.col("_outcome"), "cyclic_component")
+    asked = cut(asked.select(*PAIR, early.alias("_early")), "pairs")
+    open_ = asked.where("_early is null").select(*PAIR)
+    # One search: back from both ends of the pairs, and forth from treatments.
+    ways = F.explode(F.array(F.struct(F.lit("back").alias("way"), F.col("target_id").alias("a"), F.col("source_id").alias("b")), F.struct(F.lit("forth").alias("way"), F.col("source_id").alias("a"), F.col("target_id").alias("b"))))
+    both = dag.select("graph_id", ways.alias("_x")).select("graph_id", "_x.way", F.col("_x.a").alias("source_id"), F.col("_x.b").alias("target_id"))
+    starts = F.explode(F.array(F.struct(F.lit("back").alias("way"), F.col("outcome").alias("start")), F.struct(F.lit("back").alias("way"), F.col("treatment").alias("start")), F.struct(F.lit("forth").alias("way"), F.col("treatment").alias("start"))))
+    reach = closure(both, open_.select("graph_id", starts.alias("_x")).select("graph_id", "_x.*"), keys=("graph_id", "way"))
+    ancestors, below = (reach.where(F.col("way") == w).select("graph_id", "start", "node") for w in ("back", "forth"))
+    causal = open_.where("treatment <> outcome").join(ancestors.select("graph_id", F.col("start").alias("outcome"), F.col("node").alias("treatment")), PAIR)
+    causal = cut(causal.select(*PAIR), "causal-pairs")
+    below = below.join(causal.select("graph_id", F.col("treatment").alias("start")).distinct(), ["graph_id", "start"], "left_semi")
+    members, size = _pools(dag, scores, below, pool)
+    sets = _smallest_sets(dag, causal, ancestors, members, most)
+    near = near_misses_of(edges, causal)
+
+    out = asked.join(causal.withColumn("_causal", F.lit(True)), PAIR, "left").join(size, ["graph_id", "treatment"], "left").join(sets, PAIR, "left").join(near, PAIR, "left")
+    found = F.col("_set").isNotNull()
+    reason = F.coalesce("_early", F.when(F.col("_causal").isNull(), "no_causal_path").when(~found, "no_valid_adjustment_set").when(F.size("_set") > 0, "identifiable_by_adjustment").otherwise("identifiable_trivially"))
+    none = F.array().cast("array<string>")
+    cut_off = F.coalesce(F.col("_causal") & ~found & (F.col("_rest") > min(most, pool)), F.lit(False))
+    return out.select(*PAIR, F.coalesce(found, F.lit(False)).alias("identifiable"), reason.alias("reason"), F.coalesce("_set", none).alias("adjustment_set"), F.coalesce("_near", F.lit(0)).cast("long").alias("n_near_miss"), cut_off.alias("truncated"))
+
+
+def _pools(dag: DataFrame, scores: DataFrame, below: DataFrame, pool: int) -> tuple[DataFrame, DataFrame]:
+    """graph_id, treatment, node, pos (from 1): each treatment's pool; and graph_id, treatment, _rest: nodes it was taken from.
+
+    Of a graph's order, a pool needs `pool` rows and as many more as the treatment reaches.
+    """
+    of = Window.partitionBy("graph_id").orderBy(F.desc("score"), "node")
+    on = dag.select("graph_id", F.explode(F.array("source_id", "target_id")).alias("node")).distinct()
+    ranked = on.join(scores.withColumnRenamed("node_id", "node"), ["graph_id", "node"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("_r", F.row_number().over(of))
+    total = on.groupBy("graph_id").agg(F.count("*").alias("_n"))
+    reached = below.groupBy("graph_id", F.col("start").alias("treatment")).agg(F.count("*").alias("_below"))
+    size = cut(reached.join(total, "graph_id").select("graph_id", "treatment", "_below", (F.col("_n") - F.col("_below")).alias("_rest")), "pool-sizes")
+    near = size.join(ranked.select(F.col("graph_id").alias("_g"), "node", "_r"), (F.col("graph_id") == F.col("_g")) & (F.col("_r") <= F.col("_below") + pool))
+    free = near.select("graph_id", "treatment", "node", "_r").join(below.select("graph_id", F.col("start").alias("treatment"), "node"), ["graph_id", "treatment", "node"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("graph_id", "treatment").orderBy("_r"))
+    return cut(free.withColumn("pos", place).where(F.col("pos") <= pool).select("graph_id", "treatment", "node", "pos"), "pools"), size.select("graph_id", "treatment", "_rest")
+
+
+def _smallest_sets(dag: DataFrame, causal: DataFrame, ancestors: DataFrame, members: DataFrame, most: int) -> DataFrame:
+    """graph_id, treatment, outcome, _set (names): the first smallest separating set of each pair that has one of up to `most`."""
+    on = members.select("graph_id", "treatment", "node", "pos")
+    each = causal.select(*PAIR, F.explode(F.array("treatment", "outcome")).alias("start")).join(ancestors, ["graph_id", "start"]).join(on, ["graph_id", "treatment", "node"])
+    none = F.array().cast("array<int>")
+    widest = causal.join(each.groupBy(*PAIR).agg(F.array_sort(F.collect_set("pos")).alias("_z")), PAIR, "left").select(*PAIR, F.coalesce("_z", none).alias("given"), F.lit(True).alias("widest"))
+    widest = cut(widest, "widest-sets")
+    # The widest set and the empty one are tested together; only pairs that the widest separates go on.
+    tested = separated(dag, ancestors, on, widest.unionByName(causal.select(*PAIR, none.alias("given"), F.lit(False).alias("widest"))))
+    hopeful = tested.where("widest and via is null").select(*PAIR)
+    tested = cut(tested.where("not widest").join(hopeful, PAIR, "left_semi"), "tested-sets")
+    found = None
+    for k in range(most + 1):
+        # Separating sets of one size: the first in the pool's order.
+        done = cut(tested.where("via is null").groupBy(*PAIR).agg(F.min("given").alias("given")), "separating-sets")
+        found = done if found is None else found.unionByName(done)
+        if k == most:
+            break
+        more = tested.where("via is not null").join(done.select(*PAIR), PAIR, "left_anti")
+        sets, n = counted(more.select(*PAIR, "given", F.explode("via").alias("_v")).select(*PAIR, F.array_sort(F.array_append("given", F.col("_v"))).alias("given")).distinct(), "grown-sets")
+        if not n:
+            break
+        tested = separated(dag, ancestors, on, sets)
+    names = found.select(*PAIR, F.posexplode_outer("given").alias("_i", "pos")).join(on, ["graph_id", "treatment", "pos"], "left")
+    named = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "node"))))
+    return cut(names.groupBy(*PAIR).agg(named.alias("_s")).select(*PAIR, F.transform("_s", lambda x: x["node"]).alias("_set")), "found-sets")
+
+
+def separated(dag: DataFrame, ancestors: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """sets (graph_id, treatment, outcome, given: pool places) with via: null where given separates the pair in the moral
+    graph of its ancestors without the treatment's out-edges; else the pool's places on an open trail (which may be none).
+
+    A family, a node with its parents, is a clique of the moral graph. It stands as one hub between its members, so no clique is spelled
+    out: a hop leads from nodes to the hubs they belong to, and on to those hubs' members that aren't given.
+    """
+    state = [*PAIR, "given"]
+    families = dag.select("graph_id", F.col("source_id").alias("node"), F.col("target_id").alias("hub"))
+    own = dag.select("graph_id", F.explode(F.array("source_id", "target_id")).alias("node")).distinct()
+    families = cut(families.unionByName(own.select("graph_id", "node", F.col("node").alias("hub"))), "families")
+    shortest = F.min_by("via", F.struct(F.size("via"), "via")).alias("via")
+    trails = Grown(sets.select(*state).distinct().select(*state, F.col("treatment").alias("node"), F.array().cast("array<int>").alias("via")), "trails")
+    frontier = trails.added
+    while trails.size:
+        met = frontier.join(families, ["graph_id", "node"]).where("node <> treatment or hub = treatment").groupBy(*state, "hub").agg(shortest)
+        either = met.select("*", F.explode(F.array("treatment", "outcome")).alias("start"))
+        held = either.join(ancestors.select("graph_id", "start", F.col("node").alias("hub")), ["graph_id", "start", "hub"], "left_semi").drop("start").distinct()
+        # The outcome's own family ends a search; its other members aren't walked.
+        walked = held.join(families, ["graph_id", "hub"]).where("node <> treatment and (hub <> outcome or node = outcome)")
+        placed = walked.join(members, ["graph_id", "treatment", "node"], "left").where("pos is null or not array_contains(given, pos)")
+        via = F.when(F.col("pos").isNull(), F.col("via")).otherwise(F.array_append("via", F.col("pos")))
+        step = placed.select(*state, "node", via.alias("via")).groupBy(*state, "node").agg(shortest)
+        fresh = trails.add(step.join(trails.table().select(*state, "node"), [*state, "node"], "left_anti"))
+        frontier = fresh.join(fresh.where("node = outcome").select(*state), state, "left_anti")
+    ends = trails.table().where("node = outcome").select(*state, "via")
+    return cut(sets.join(ends, state, "left"), "tested-sets")
+
+
+def near_misses_of(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """graph_id, treatment, outcome, _near: near misses of the given pairs alone, from the regulators of each treatment."""
+    up = edges.where(F.col("edge_type").isin(*CAUSAL_EDGES)).select("graph_id", F.col("source_id").alias("r"), F.col("target_id").alias("treatment")).distinct()
+    weak = edges.where(~admissible()).select("graph_id", F.col("source_id").alias("r"), F.col("target_id").alias("outcome")).distinct()
+    met = pairs.join(up, ["graph_id", "treatment"]).where("r <> treatment and r <> outcome").join(weak, ["graph_id", "r", "outcome"])
+    return met.groupBy(*PAIR).agg(F.count("*").alias("_near"))
 
 
 def counterfactual(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -244,8 +200,6 @@ def counterfactual(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, thresho
 
 def near_misses(edges: DataFrame) -> DataFrame:
     """graph_id, treatment, outcome, n: regulators of a treatment with only an inadmissible association to the outcome. Set-wise."""
-    from .graph import admissible
-
     up = edges.where(F.col("edge_type").isin(*CAUSAL_EDGES)).select("graph_id", F.col("source_id").alias("r"), F.col("target_id").alias("treatment"))
     weak = edges.where(~admissible()).select("graph_id", F.col("source_id").alias("r"), F.col("target_id").alias("outcome"))
     held = up.join(weak, ["graph_id", "r"]).where("r <> treatment and r <> outcome and treatment <> outcome")

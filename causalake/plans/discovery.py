@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import causal as C
+from ..operators import components as CO
 from ..operators import evidence as E
 from ..operators import frames as A
 from ..operators import graph as G
@@ -43,7 +44,7 @@ def ranked_targets(nodes: DataFrame, edges: DataFrame, n: int = 10, hops: int |
     verdict = C.identification(edges, nodes, pairs)
     strength = PA.path_strength(edges, pairs.select(*keys), hops).select(*keys, "path_strength")
     robust = E.robustness(edges, pairs.select(*keys, "score"), hops).select(*keys, "robustness")
-    between = C.betweenness(edges).withColumnRenamed("node_id", "treatment")
+    between = CO.betweenness(edges).withColumnRenamed("node_id", "treatment")
     corroborated = E.corroboration(edges).withColumnRenamed("node_id", "treatment")
     links = E.connections(edges).withColumnRenamed("node_id", "treatment")
     rows = pairs.join(verdict, keys).join(strength, keys).join(robust, keys)

@@ -10,6 +10,7 @@ from ..functions import proteins as FP
 from ..functions import scores as S
 from ..operators import bio_tables as BT
 from ..operators import causal as C
+from ..operators import components as CO
 from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import molecules as M
@@ -116,26 +117,98 @@ def disease_graph(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, e.unionByName(toward), pairs
 
 
-@query("identification")
+#: The same graph in SQL: all resolved edges, an edge from each node to the disease, even nodes with genetic evidence.
+DISEASE_SQL = f"""{COLLISIONS_SQL}, ids AS (SELECT graph_id, source_id AS node FROM resolved UNION SELECT graph_id, target_id FROM resolved),
+dg AS (SELECT graph_id, source_id AS a, target_id AS b, edge_type, {P.ADMISSIBLE_SQL} AS ok FROM resolved UNION ALL
+SELECT graph_id, node, 'D', 'associated_with', substr(node, 2)::INT % 2 = 0 FROM ids),
+adm AS (SELECT DISTINCT graph_id, a, b FROM dg WHERE ok)"""
+
+#: Cyclic nodes reach themselves; all pairs of the rest that reach each other; the widest and the empty set by a search over
+#: families; then all sets of up to three of the pool's ancestors, where the widest separates and the empty one doesn't.
+IDENTIFICATION_SQL = f"""WITH RECURSIVE {DISEASE_SQL},
+cyc0(graph_id, a, b) AS (SELECT graph_id, a, b FROM adm UNION SELECT c.graph_id, c.a, e.b FROM cyc0 c JOIN adm e ON e.graph_id = c.graph_id AND e.a = c.b),
+cyc AS (SELECT DISTINCT graph_id, a AS node FROM cyc0 WHERE a = b),
+dag AS (SELECT * FROM adm e WHERE NOT EXISTS (SELECT 1 FROM cyc c WHERE c.graph_id = e.graph_id AND c.node IN (e.a, e.b))),
+nd AS (SELECT graph_id, a AS node FROM dag UNION SELECT graph_id, b FROM dag),
+rc(graph_id, a, b) AS (SELECT graph_id, node, node FROM nd UNION SELECT r.graph_id, r.a, e.b FROM rc r JOIN dag e ON e.graph_id = r.graph_id AND e.a = r.b),
+pr AS (SELECT ids.graph_id, ids.node AS x, EXISTS (SELECT 1 FROM cyc c WHERE c.graph_id = ids.graph_id AND c.node IN (ids.node, 'D')) AS loop,
+ EXISTS (SELECT 1 FROM rc WHERE rc.graph_id = ids.graph_id AND rc.a = ids.node AND rc.b = 'D') AS path FROM ids),
+ca AS (SELECT graph_id, x FROM pr WHERE path AND NOT loop),
+pl AS (SELECT ca.graph_id, ca.x, nd.node, row_number() OVER (PARTITION BY ca.graph_id, ca.x ORDER BY CASE WHEN nd.node = 'D' THEN 0 ELSE substr(nd.node, 2)::INT % 10 END DESC, nd.node) AS pos
+ FROM ca JOIN nd USING (graph_id) WHERE NOT EXISTS (SELECT 1 FROM rc WHERE rc.graph_id = ca.graph_id AND rc.a = ca.x AND rc.b = nd.node)),
+po AS (SELECT * FROM pl WHERE pos <= 20), sz AS (SELECT graph_id, x, count(*) AS rest FROM pl GROUP BY 1, 2),
+an AS (SELECT ca.graph_id, ca.x, rc.a AS node FROM ca JOIN rc ON rc.graph_id = ca.graph_id AND rc.b IN (ca.x, 'D') GROUP BY 1, 2, 3),
+fam AS (SELECT graph_id, a AS node, b AS hub FROM dag UNION SELECT graph_id, node, node FROM nd),
+cand AS (SELECT po.graph_id, po.x, po.pos FROM po JOIN an USING (graph_id, x, node)),
+s0 AS (SELECT graph_id, x, 0 AS k, []::BIGINT[] AS z FROM ca UNION ALL
+ SELECT ca.graph_id, ca.x, 9, coalesce((SELECT list(pos ORDER BY pos) FROM cand WHERE cand.graph_id = ca.graph_id AND cand.x = ca.x), []) FROM ca),
+w0(graph_id, x, k, z, node) AS (SELECT graph_id, x, k, z, x FROM s0 UNION
+ SELECT w.graph_id, w.x, w.k, w.z, m.node FROM w0 w JOIN fam h ON h.graph_id = w.graph_id AND h.node = w.node AND (w.node <> w.x OR h.hub = w.x)
+ JOIN an ON an.graph_id = w.graph_id AND an.x = w.x AND an.node = h.hub JOIN fam m ON m.graph_id = w.graph_id AND m.hub = h.hub AND m.node <> w.x AND (h.hub <> 'D' OR m.node = 'D')
+ LEFT JOIN po ON po.graph_id = w.graph_id AND po.x = w.x AND po.node = m.node WHERE po.pos IS NULL OR NOT list_contains(w.z, po.pos)),
+sep0 AS (SELECT graph_id, x, k, z FROM s0 WHERE NOT EXISTS (SELECT 1 FROM w0 WHERE w0.graph_id = s0.graph_id AND w0.x = s0.x AND w0.k = s0.k AND w0.node = 'D')),
+todo AS (SELECT graph_id, x FROM sep0 WHERE k = 9 AND (graph_id, x) NOT IN (SELECT graph_id, x FROM sep0 WHERE k = 0)),
+one AS (SELECT graph_id, x, pos FROM cand JOIN todo USING (graph_id, x)),
+s1 AS (SELECT graph_id, x, 1 AS k, [pos] AS z FROM one UNION ALL SELECT a.graph_id, a.x, 2, [a.pos, b.pos] FROM one a JOIN one b ON b.graph_id = a.graph_id AND b.x = a.x AND b.pos > a.pos UNION ALL
+ SELECT a.graph_id, a.x, 3, [a.pos, b.pos, c.pos] FROM one a JOIN one b ON b.graph_id = a.graph_id AND b.x = a.x AND b.pos > a.pos JOIN one c ON c.graph_id = a.graph_id AND c.x = a.x AND c.pos > b.pos),
+w1(graph_id, x, k, z, node) AS (SELECT graph_id, x, k, z, x FROM s1 UNION
+ SELECT w.graph_id, w.x, w.k, w.z, m.node FROM w1 w JOIN fam h ON h.graph_id = w.graph_id AND h.node = w.node AND (w.node <> w.x OR h.hub = w.x)
+ JOIN an ON an.graph_id = w.graph_id AND an.x = w.x AND an.node = h.hub JOIN fam m ON m.graph_id = w.graph_id AND m.hub = h.hub AND m.node <> w.x AND (h.hub <> 'D' OR m.node = 'D')
+ LEFT JOIN po ON po.graph_id = w.graph_id AND po.x = w.x AND po.node = m.node WHERE po.pos IS NULL OR NOT list_contains(w.z, po.pos)),
+hit AS (SELECT DISTINCT graph_id, x, z FROM w1 WHERE node = 'D'),
+sep AS (SELECT graph_id, x, 0 AS k, z FROM sep0 WHERE k = 0 UNION ALL SELECT s1.* FROM s1 ANTI JOIN hit USING (graph_id, x, z)),
+best AS (SELECT graph_id, x, z FROM sep QUALIFY row_number() OVER (PARTITION BY graph_id, x ORDER BY k, z) = 1),
+names AS (SELECT best.graph_id, best.x, coalesce(list(po.node ORDER BY po.pos) FILTER (po.node IS NOT NULL), []) AS names FROM best LEFT JOIN po ON po.graph_id = best.graph_id AND po.x = best.x AND list_contains(best.z, po.pos) GROUP BY 1, 2),
+near AS (SELECT u.graph_id, u.b AS x, count(DISTINCT u.a) AS n FROM dg u JOIN dg v ON v.graph_id = u.graph_id AND v.a = u.a AND v.b = 'D' AND NOT v.ok WHERE u.edge_type = 'activates' AND u.a <> u.b GROUP BY 1, 2)
+SELECT pr.graph_id, pr.x AS treatment, 'D' AS outcome, names.x IS NOT NULL AS identifiable,
+ CASE WHEN loop THEN 'cyclic_component' WHEN NOT path THEN 'no_causal_path' WHEN names.x IS NULL THEN 'no_valid_adjustment_set' WHEN len(names) > 0 THEN 'identifiable_by_adjustment' ELSE 'identifiable_trivially' END AS reason,
+ coalesce(names, []) AS adjustment_set, CASE WHEN path AND NOT loop THEN coalesce(near.n, 0) ELSE 0 END AS n_near_miss, coalesce(path AND NOT loop AND names.x IS NULL AND rest > 3, false) AS truncated
+FROM pr LEFT JOIN names ON names.graph_id = pr.graph_id AND names.x = pr.x LEFT JOIN near ON near.graph_id = pr.graph_id AND near.x = pr.x LEFT JOIN sz ON sz.graph_id = pr.graph_id AND sz.x = pr.x"""
+
+
+@query("identification", IDENTIFICATION_SQL)
 def _(spark, sf):
     nodes, e, pairs = disease_graph(spark, sf)
     return C.identification(e, nodes, pairs)
 
 
-@query("identification_summary")
+@query(
+    "identification_summary",
+    f"""WITH v AS ({IDENTIFICATION_SQL}), k AS (SELECT unnest(['identifiable_by_adjustment', 'identifiable_trivially', 'no_causal_path', 'cyclic_component', 'no_valid_adjustment_set', 'treatment_absent', 'outcome_absent']) AS reason),
+c AS (SELECT k.reason, count(v.reason) AS n, avg(v.n_near_miss) FILTER (v.reason = 'identifiable_trivially') AS m FROM k LEFT JOIN v ON v.reason = k.reason GROUP BY 1)
+SELECT reason, n, CASE WHEN sum(n) OVER () > 0 THEN round(n / sum(n) OVER (), 6) ELSE 0 END::DOUBLE AS share, round(m, 6) AS mean_near_miss FROM c""",
+)
 def _(spark, sf):
     nodes, e, pairs = disease_graph(spark, sf)
     return V.identification_summary(C.identification(e, nodes, pairs))
 
 
-@query("cyclic_components")
+@query(
+    "cyclic_components",
+    f"""WITH RECURSIVE {COLLISIONS_SQL}, e AS (SELECT DISTINCT graph_id, source_id AS a, target_id AS b FROM resolved WHERE {P.ADMISSIBLE_SQL}),
+r(graph_id, a, b) AS (SELECT graph_id, a, b FROM e UNION SELECT r.graph_id, r.a, e.b FROM r JOIN e ON e.graph_id = r.graph_id AND e.a = r.b),
+m AS (SELECT x.graph_id, x.a AS node_id, min(x.b) AS least FROM r x JOIN r y ON y.graph_id = x.graph_id AND y.a = x.b AND y.b = x.a GROUP BY 1, 2)
+SELECT graph_id, (dense_rank() OVER (PARTITION BY graph_id ORDER BY least) - 1)::INT AS component, node_id FROM m""",
+)
 def _(spark, sf):
-    return C.cyclic_components(whole_graph(spark, sf))
+    return CO.cyclic_components(whole_graph(spark, sf).where(G.admissible()))
 
 
-@query("betweenness")
+@query(
+    "betweenness",
+    f"""WITH RECURSIVE {COLLISIONS_SQL}, e AS (SELECT DISTINCT graph_id, source_id AS a, target_id AS b FROM resolved WHERE source_id <> target_id),
+r(graph_id, s, t, hops, ways) USING KEY (graph_id, s, t) AS (SELECT DISTINCT graph_id, a, a, 0, 1.0::DOUBLE FROM e
+UNION SELECT r.graph_id, r.s, e.b, min(r.hops) + 1, sum(r.ways) FROM r JOIN e ON e.graph_id = r.graph_id AND e.a = r.t
+WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS k WHERE k.graph_id = r.graph_id AND k.s = r.s AND k.t = e.b) GROUP BY 1, 2, 3),
+p AS (SELECT * FROM r),
+b AS (SELECT x.graph_id, x.t AS v, sum(x.ways * y.ways / z.ways) AS share FROM p x JOIN p y ON y.graph_id = x.graph_id AND y.s = x.t JOIN p z ON z.graph_id = x.graph_id AND z.s = x.s AND z.t = y.t AND z.hops = x.hops + y.hops
+WHERE x.s <> x.t AND y.s <> y.t AND x.s <> y.t GROUP BY 1, 2),
+ids AS (SELECT graph_id, source_id AS node_id FROM resolved UNION SELECT graph_id, target_id FROM resolved), n AS (SELECT graph_id, count(*) AS n FROM ids GROUP BY 1)
+SELECT ids.graph_id, ids.node_id, round(coalesce(share, 0) / CASE WHEN n > 2 THEN (n - 1) * (n - 2) ELSE 1 END, 8) AS betweenness
+FROM ids JOIN n USING (graph_id) LEFT JOIN b ON b.graph_id = ids.graph_id AND b.v = ids.node_id""",
+)
 def _(spark, sf):
-    return C.betweenness(whole_graph(spark, sf)).withColumn("betweenness", F.round("betweenness", 8))
+    return CO.betweenness(whole_graph(spark, sf)).withColumn("betweenness", F.round("betweenness", 8))
 
 
 @query("counterfactual")

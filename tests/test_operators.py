@@ -14,6 +14,7 @@ from causalake.functions import proteins as FP
 from causalake.functions import scores as S
 from causalake.functions import text as T
 from causalake.operators import causal as C
+from causalake.operators import components as CO
 from causalake.operators import frames as A
 from causalake.operators import graph as G
 from causalake.operators import molecules as M
@@ -22,6 +23,7 @@ from causalake.operators import ranking as R
 from causalake.operators import records as RE
 from causalake.schemas import REASONS
 from causalake.sources import releases, sinks, snapshots
+from tests import graph_brute as B
 
 ASSOC = "target_id string, target_symbol string, disease_id string, datatype string, score double"
 
@@ -89,7 +91,7 @@ def test_merge_pins(spark):
 
 
 def verdict(edges, x="CCR5", y="HIV"):
-    return C.identify([(a, b, t, c) for a, b, t, c in edges], {}, x, y)
+    return B.identify([(a, b, t, c) for a, b, t, c in edges], {}, x, y)
 
 
 GEN, LIT = ("associated_with", "genetic_association"), ("associated_with", "literature")
@@ -119,10 +121,10 @@ def test_verdicts(edges, x, y, reason):
 
 
 def test_backdoor():
-    d = C.Digraph([("U", "X"), ("U", "Y"), ("X", "Y")])
-    assert [C.satisfies_backdoor(d, "X", "Y", frozenset(z)) for z in ((), ("U",), ("Y",))] == [False, True, False]
-    collider = C.Digraph([("A", "M"), ("B", "M"), ("A", "X"), ("B", "Y"), ("X", "Y")])
-    assert C.satisfies_backdoor(collider, "X", "Y", frozenset()) and not C.satisfies_backdoor(collider, "X", "Y", frozenset("M"))
+    d = B.Digraph([("U", "X"), ("U", "Y"), ("X", "Y")])
+    assert [B.satisfies_backdoor(d, "X", "Y", frozenset(z)) for z in ((), ("U",), ("Y",))] == [False, True, False]
+    collider = B.Digraph([("A", "M"), ("B", "M"), ("A", "X"), ("B", "Y"), ("X", "Y")])
+    assert B.satisfies_backdoor(collider, "X", "Y", frozenset()) and not B.satisfies_backdoor(collider, "X", "Y", frozenset("M"))
 
 
 def test_identification_in_groups(spark):
@@ -132,8 +134,8 @@ def test_identification_in_groups(spark):
     nodes = spark.createDataFrame([("g1", "CCL5", 0.5)], "graph_id string, node_id string, score double")
     r = {x.graph_id: x for x in C.identification(edges, nodes, pairs).collect()}
     assert r["g1"].adjustment_set == ["CCL5"] and r["g2"].reason == "identifiable_trivially"
-    assert C.cyclic_components(edges).count() == 0
-    b = {(x.graph_id, x.node_id): x.betweenness for x in C.betweenness(edges).collect()}
+    assert CO.cyclic_components(edges).count() == 0
+    b = {(x.graph_id, x.node_id): x.betweenness for x in CO.betweenness(edges).collect()}
     assert set(b.values()) == {0.0}
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from causalake.operators.causal import is_admissible
 from causalake.plans import targets as T
 from causalake.plans.associations import COLLISIONS_SQL
+from tests.graph_brute import is_admissible
 
 
 def resolved(duck):
