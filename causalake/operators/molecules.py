@@ -4,33 +4,59 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.molecules import SPECIAL, smiles_tokens, tanimoto
+from ..runtime import cut
 
-#: A reference set of at most so many fingerprints is broadcast; a larger one is searched in blocks of that size.
-FEW = 20_000
+#: Reference rows, by hash, whose similarities bound a query's k-th best from below before the search.
+SEEDS = 2_000
+
+
+def set_bits(fp: str) -> Column:
+    """Places of a fingerprint's set bits, from an array of 64-bit words."""
+    places = F.sequence(F.lit(0), F.size(fp) * 64 - 1)
+    return F.when(F.size(fp) > 0, F.filter(places, lambda i: F.getbit(F.get(F.col(fp), F.floor(i / 64).cast("int")), i % 64) == 1)).otherwise(F.array().cast("array<int>"))
 
 
 def nearest(queries: DataFrame, reference: DataFrame, k: int = 5, qid: str = "id", rid: str = "id", fp: str = "fp") -> DataFrame:
-    """query_id, reference_id, similarity, rank: the k most similar reference rows of each query.
+    """query_id, reference_id, similarity, rank: the k most similar reference rows of each query, exactly.
 
-    The reference set (approved drugs: thousands) is held against all queries in blocks of FEW rows: each block is
-    one broadcast, reduced to k for each query before the next, so memory is bounded and no pair is shuffled.
+    Similarities are compared as rounded to 4 places, then ids decide. Inverted lists hold each reference row under its set bits, rare
+    bits first. A bounded sample of the reference gives each query a similarity t that its k-th best reaches. A row that reaches t
+    shares at least t / (1 + t) of both popcounts, so its first shared bit leaves so many bits behind it on both sides, and its
+    popcount lies between t and 1 / t of the query's: only such list entries are joined. A query with fewer than k rows that share
+    a bit is filled up with others by id. Fingerprints are arrays of 64-bit words of one length; null ones have no bits.
     """
-    r = reference.select(F.col(rid).alias("reference_id"), F.col(fp).alias("_r"))
-    blocks = max(1, -(-r.count() // FEW))
-    q = queries.select(F.col(qid).alias("query_id"), F.col(fp).alias("_q"))
+    none = F.array().cast("array<long>")
+    r = cut(reference.select(F.col(rid).alias("reference_id"), F.coalesce(fp, none).alias("_r")).withColumn("_bits", set_bits("_r")), "references")
+    q = queries.select(F.col(qid).alias("query_id"), F.coalesce(fp, none).alias("_q")).withColumn("_bits", set_bits("_q"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "reference_id")
-    parts = []
-    for b in range(blocks):
-        block = r if blocks == 1 else r.where(F.pmod(F.xxhash64("reference_id"), F.lit(blocks)) == b)
-        lists = block.agg(F.collect_list(F.struct("reference_id", "_r")).alias("_all"))  # FEW rows, about
-        each = q.join(F.broadcast(lists)).select("query_id", F.explode(F.slice(F.array_sort(F.transform("_all", lambda x: F.struct((-F.round(tanimoto(F.col("_q"), x["_r"]), 4)).alias("s"), x["reference_id"].alias("reference_id")))), 1, k)).alias("x"))
-        parts.append(each.select("query_id", "x.reference_id", (-F.col("x.s")).alias("similarity")))
-    held = reduce(DataFrame.union, parts)
-    return held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    value = F.round(tanimoto("_q", "_r"), 4)
+
+    seeds = r.orderBy(F.xxhash64("reference_id"), "reference_id").limit(SEEDS).agg(F.collect_list("_r").alias("_seeds"))  # SEEDS fingerprints in one row
+    best = F.sort_array(F.transform("_seeds", lambda x: F.round(tanimoto(F.col("_q"), x), 4)), asc=False)
+    # A row whose rounded similarity equals the bound may lie half a place below it.
+    bound = F.greatest(F.lit(0.0), F.coalesce(F.get(best, F.lit(k - 1)), F.lit(0.0)) - 0.00006)
+    q = cut(q.join(F.broadcast(seeds)).select("query_id", "_q", "_bits", bound.alias("_t")), "queries")
+
+    ranks = r.select(F.explode("_bits").alias("bit")).groupBy("bit").agg(F.count("*").alias("n"))
+    ranks = ranks.agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("n", "bit"))), lambda x, i: F.struct(x["bit"], i))).alias("_rank"))  # as many as a fingerprint has bits
+    # Bits that no reference row has are no candidates'; they count in the popcount alone.
+    placed = lambda d, side, at: d.join(F.broadcast(ranks)).select("*", F.size("_bits").alias(f"_n{side}"), F.posexplode(F.array_sort(F.filter(F.transform("_bits", lambda b: F.element_at("_rank", b)), lambda x: x.isNotNull()))).alias(at, "_bit")).drop("_bits", "_rank")
+    lists, asked = placed(r, "r", "_j"), placed(q, "q", "_i").withColumnRenamed("_bit", "_qbit")
+    left = F.least(F.col("_nq") - F.col("_i"), F.col("_nr") - F.col("_j"))
+    fits = (F.col("_nr") >= F.col("_t") * F.col("_nq") - 1e-9) & (F.col("_nq") >= F.col("_t") * F.col("_nr") - 1e-9) & (left >= F.col("_t") / (1 + F.col("_t")) * (F.col("_nq") + F.col("_nr")) - 1e-9)
+    met = asked.join(lists, (F.col("_qbit") == F.col("_bit")) & fits).select("query_id", "reference_id", value.alias("similarity")).distinct()
+    top = met.where("similarity > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = cut(top, "nearest")
+
+    short = q.join(top.groupBy("query_id").agg(F.count("*").alias("_n")), "query_id", "left").where(F.coalesce("_n", F.lit(0)) < k).select("query_id", F.coalesce("_n", F.lit(0)).alias("_n"))
+    firsts = r.select("reference_id").orderBy("reference_id").limit(2 * k)
+    rest = short.join(F.broadcast(firsts)).join(top.select("query_id", "reference_id"), ["query_id", "reference_id"], "left_anti")  # 2 k rows
+    more = rest.withColumn("similarity", F.lit(0.0)).withColumn("rank", (F.col("_n") + F.row_number().over(order)).cast("int")).where(F.col("rank") <= k)
+    return top.unionByName(more.select("query_id", "reference_id", "similarity", "rank"))
 
 
 def novel_only(molecules: DataFrame, similarity: DataFrame, limit: float = 0.7) -> DataFrame:

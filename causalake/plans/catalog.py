@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import associations, targets
+from . import associations, systems, targets
 
-QUERIES = dict(associations.Q) | dict(targets.Q)
-ORACLES = dict(associations.SQL) | dict(targets.SQL)
+QUERIES = dict(associations.Q) | dict(targets.Q) | dict(systems.Q)
+ORACLES = dict(associations.SQL) | dict(targets.SQL) | dict(systems.SQL)

@@ -371,14 +371,6 @@ def _(spark, sf):
     return top_targets(drug_targets(spark, sf).withColumn("target_type", F.when(F.col("tid") % 4 == 0, "cell-line").otherwise("single protein")), 50).select("tid", "max_phase", "n_drugs")
 
 
-@query("nearest_drugs")
-def _(spark, sf):
-    e = P.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), FM.sign_bits("embedding").alias("fp"))
-    # Against all rows; one more than asked, as the query's own row goes.
-    near = M.nearest(e.where("id % 100 = 0"), e, 6).where("query_id <> reference_id")
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("rank <= 5")
-
-
 @query("generation_metrics", "WITH v AS (SELECT CASE WHEN length(text) > 100 THEN md5(text) END AS c FROM documents), u AS (SELECT DISTINCT c FROM v WHERE c IS NOT NULL), t AS (SELECT DISTINCT md5(text) AS c FROM documents WHERE doc_id % 3 = 0) SELECT (SELECT count(*) FROM v) AS n, round((SELECT count(c) FROM v) / (SELECT count(*) FROM v), 6)::DOUBLE AS validity, round((SELECT count(*) FROM u) / (SELECT count(c) FROM v), 6)::DOUBLE AS uniqueness, round((SELECT count(*) FROM u ANTI JOIN t USING (c)) / (SELECT count(*) FROM u), 6)::DOUBLE AS novelty")
 def _(spark, sf):
     d = P.table(spark, sf, "documents")
