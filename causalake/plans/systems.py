@@ -9,7 +9,11 @@ from ..functions import molecules as FM
 from ..operators import integrity as I
 from ..operators import linear as L
 from ..operators import molecules as M
+from ..operators import tensors as TE
+from ..streaming import jobs as J
 from . import projections as P
+from .associations import COLLISIONS_SQL
+from .targets import whole_graph
 
 Q, SQL = {}, {}
 #: Numbers of a line and its part, and two that follow from them, as one system.
@@ -154,3 +158,57 @@ def _(spark, sf):
     runs = rows.select("run", "l_suppkey").distinct().where(k % 11 != 0)
     held = I.run_digests(was, RUN_FIELDS).join(runs, "run").select("run", (k % 3 != 0).alias("citable"), "n_rows", F.when(k % 13 != 0, F.col("digest")).alias("digest"))
     return I.integrity_findings(held, rows, RUN_FIELDS, runs.where(k % 2 == 0))
+
+
+TENSOR_SQL = f"""{COLLISIONS_SQL}, e AS (SELECT graph_id, source_id, target_id, CASE WHEN substr(source_db, 3) = '2' THEN 'learned' ELSE edge_type END AS kind FROM resolved),
+ids AS (SELECT graph_id, source_id AS node FROM resolved UNION SELECT graph_id, target_id FROM resolved),
+p AS (SELECT graph_id, node, row_number() OVER (PARTITION BY graph_id ORDER BY node) - 1 AS place FROM ids),
+v AS (SELECT kind, row_number() OVER (ORDER BY count(*) DESC, kind) AS type_id FROM e WHERE kind <> 'associated_with' GROUP BY 1 ORDER BY type_id LIMIT 2),
+x AS (SELECT e.graph_id, a.place AS source_place, b.place AS target_place, coalesce(v.type_id, 0) AS type_id FROM e JOIN p a ON a.graph_id = e.graph_id AND a.node = e.source_id JOIN p b ON b.graph_id = e.graph_id AND b.node = e.target_id LEFT JOIN v ON v.kind = e.kind)"""
+
+
+def tensors(spark, sf) -> tuple[DataFrame, DataFrame]:
+    e = whole_graph(spark, sf).withColumn("evidence_type", F.when(F.substring("source_db", 3, 1) == "2", "learned"))
+    places = TE.node_places(e.select("graph_id", F.explode(F.array("source_id", "target_id")).alias("node_id")))
+    return places, TE.edge_index(places, e, TE.edge_vocabulary(e, 2))
+
+
+@query("edge_tensors", f"WITH {TENSOR_SQL} SELECT graph_id, source_place::INT AS source_place, target_place::INT AS target_place, type_id::INT AS type_id FROM x")
+def _(spark, sf):
+    return tensors(spark, sf)[1]
+
+
+@query(
+    "compressed_rows",
+    f"""WITH {TENSOR_SQL}, o AS (SELECT p.graph_id, p.place, count(x.graph_id) AS n FROM p LEFT JOIN x ON x.graph_id = p.graph_id AND x.source_place = p.place GROUP BY 1, 2),
+s AS (SELECT graph_id, place, sum(n) OVER (PARTITION BY graph_id ORDER BY place) AS upto FROM o), f AS (SELECT graph_id, [0] || list(upto::INT ORDER BY place) AS offsets FROM s GROUP BY 1),
+t AS (SELECT graph_id, list(target_place::INT ORDER BY source_place, target_place, type_id) AS targets, list(type_id::INT ORDER BY source_place, target_place, type_id) AS types FROM x GROUP BY 1)
+SELECT graph_id, offsets, targets, types FROM f JOIN t USING (graph_id)""",
+)
+def _(spark, sf):
+    return TE.compressed_rows(*tensors(spark, sf))
+
+
+PATIENCE = 36 * 3600
+_STATES_SQL = "[" + ", ".join(f"'{x}'" for x in J.STATES) + "]"
+
+
+def job_events(spark, sf) -> DataFrame:
+    """Events of a user as a job's: mostly the next state, by number, and now and then another."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    place = F.when(F.col("event_id") % 11 == 0, F.col("event_id") % 9).otherwise(F.col("_n") % 8)
+    return P.table(spark, sf, "events").withColumn("_n", n).select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.get(F.array(*map(F.lit, J.STATES)), place.cast("int")).alias("state"))
+
+
+@query(
+    "job_transitions",
+    f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+e AS (SELECT user_id AS job_id, ts, event_id AS seq, {_STATES_SQL}[CASE WHEN event_id % 11 = 0 THEN event_id % 9 ELSE n % 8 END + 1] AS state FROM k),
+w AS (SELECT *, lag(state) OVER o AS was, lag(ts) OVER o AS was_ts, lead(ts) OVER o AS next_ts, max(ts) OVER () AS last FROM e WINDOW o AS (PARTITION BY job_id ORDER BY ts, seq)),
+m AS (SELECT *, CASE WHEN was NOT IN ('complete', 'failed') AND epoch_us(ts) - epoch_us(was_ts) > {PATIENCE * 1_000_000} THEN 'failed' ELSE was END AS prior FROM w)
+SELECT job_id, ts AS "at", prior AS "before", state AS "after", CASE WHEN prior IS NULL THEN CASE WHEN state = 'pending' THEN 'ok' ELSE 'illegal' END WHEN prior IN ('complete', 'failed') THEN 'illegal'
+ WHEN state = 'failed' OR list_position({_STATES_SQL}, state) = list_position({_STATES_SQL}, prior) + 1 THEN 'ok' ELSE 'illegal' END AS finding FROM m
+UNION ALL SELECT job_id, ts + to_seconds({PATIENCE}), state, 'failed', 'stale' FROM w WHERE state NOT IN ('complete', 'failed') AND epoch_us(coalesce(next_ts, last)) - epoch_us(ts) > {PATIENCE * 1_000_000}""",
+)
+def _(spark, sf):
+    return J.transitions(job_events(spark, sf), PATIENCE).withColumn("at", F.col("at").cast("timestamp_ntz"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.records import upserted
+from .versions import VersionedTable
 
 
 def graph_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -31,17 +31,9 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "graph_id", "left").select("graph_id", F.concat(F.lit('<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">'), "n", F.coalesce("e", F.lit("")), F.lit("</graph></graphml>")).alias("document"))
 
 
-def upsert(path: str, rows: DataFrame, keys: list[str], order: list[str]) -> None:
-    """The latest row of each key at path: written beside, then swapped in."""
-    spark = rows.sparkSession
-    jvm = spark.sparkContext._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    place, beside = fs_path(path), fs_path(f"{path}.next")
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = upserted(spark.read.parquet(path), rows, keys, order) if fs.exists(place) else upserted(rows.limit(0), rows, keys, order)
-    out.write.mode("overwrite").parquet(f"{path}.next")
-    fs.delete(place, True)
-    fs.rename(beside, place)
+def upsert(path: str, rows: DataFrame, keys: list[str], order: list[str]) -> int:
+    """The latest row of each key as the next version of the table at path; read it by VersionedTable."""
+    return VersionedTable(rows.sparkSession, path).upsert(rows, keys, order)
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

@@ -23,6 +23,7 @@ from causalake.operators import ranking as R
 from causalake.operators import records as RE
 from causalake.schemas import REASONS
 from causalake.sources import releases, sinks, snapshots
+from causalake.sources.versions import VersionedTable
 from tests import graph_brute as B
 
 ASSOC = "target_id string, target_symbol string, disease_id string, datatype string, score double"
@@ -227,7 +228,7 @@ def test_upsert(spark, tmp_path):
     p = str(tmp_path / "t")
     for v in (1, 2):
         sinks.upsert(p, spark.createDataFrame([("k", v)], "k string, v int"), ["k"], ["v"])
-    assert [tuple(r) for r in spark.read.parquet(p).collect()] == [("k", 2)]
+    assert [tuple(r) for r in VersionedTable(spark, p).read().collect()] == [("k", 2)]
 
 
 def test_streams(spark, sf, tmp_path):
