@@ -90,6 +90,17 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("graph_id", "x.node_id").agg(F.sum("x.i").alias("in_degree"), F.sum("x.o").alias("out_degree"))
 
 
+def density(edges: DataFrame) -> DataFrame:
+    """graph_id, n_nodes, n_edges, density (share of ordered pairs of different nodes with an edge), mean_degree.
+
+    Edges between one pair of nodes count once, self-loops as edges; a graph of one node has density 0.
+    """
+    n_nodes = edges.select("graph_id", F.explode(F.array("source_id", "target_id")).alias("n")).distinct().groupBy("graph_id").agg(F.count("*").alias("n_nodes"))
+    n_edges = edges.select("graph_id", "source_id", "target_id").distinct().groupBy("graph_id").agg(F.count("*").alias("n_edges"))
+    n, m = F.col("n_nodes"), F.col("n_edges")
+    return n_nodes.join(n_edges, "graph_id").select("graph_id", "n_nodes", "n_edges", F.when(n > 1, m / (n * (n - 1))).otherwise(0.0).alias("density"), (m / n).alias("mean_degree"))
+
+
 def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """graph_id, node_id, rank by joins until each graph's ranks move by less than tolerance a node, in sum; mass of
     nodes without out-edges is spread evenly. Moves shrink by `damping` a round, so the loop ends."""

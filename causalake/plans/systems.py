@@ -9,7 +9,9 @@ from ..functions import molecules as FM
 from ..operators import integrity as I
 from ..operators import linear as L
 from ..operators import molecules as M
+from ..operators import paths as PA
 from ..operators import tensors as TE
+from ..streaming import buffers as B
 from ..streaming import jobs as J
 from . import projections as P
 from .associations import COLLISIONS_SQL
@@ -212,3 +214,25 @@ UNION ALL SELECT job_id, ts + to_seconds({PATIENCE}), state, 'failed', 'stale' F
 )
 def _(spark, sf):
     return J.transitions(job_events(spark, sf), PATIENCE).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query(
+    "graph_density",
+    f"""WITH {COLLISIONS_SQL}, n AS (SELECT graph_id, count(DISTINCT node) AS n_nodes FROM (SELECT graph_id, source_id AS node FROM resolved UNION ALL SELECT graph_id, target_id FROM resolved) GROUP BY 1),
+m AS (SELECT graph_id, count(*) AS n_edges FROM resolved GROUP BY 1)
+SELECT graph_id, n_nodes, n_edges, round(n_edges / (n_nodes * (n_nodes - 1)), 8) AS density, round(n_edges / n_nodes, 6) AS mean_degree FROM n JOIN m USING (graph_id)""",
+)
+def _(spark, sf):
+    return PA.density(whole_graph(spark, sf)).withColumns({"density": F.round("density", 8), "mean_degree": F.round("mean_degree", 6)})
+
+
+@query(
+    "recalibrations",
+    """WITH o AS (SELECT event_type AS key, event_id, event_id % 97 AS x, value AS y FROM events WHERE value IS NOT NULL),
+w AS (SELECT key, count(*) OVER u AS n, avg(x) OVER u AS mean_x, avg(y) OVER u AS mean_y, regr_slope(y, x) OVER u AS slope, regr_intercept(y, x) OVER u AS intercept FROM o WINDOW u AS (PARTITION BY key ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+SELECT key, n, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM w WHERE n % 50 = 0""",
+)
+def _(spark, sf):
+    e = P.table(spark, sf, "events").withColumn("x", F.col("event_id") % 97)
+    out = B.recalibrations(e, "event_type", "event_id", "x", "value", 50)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_x", "mean_y", "slope", "intercept")})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from causalake.operators import tensors as TE
 from causalake.plans import systems as Y
 from causalake.sources import versions as V
+from causalake.streaming import buffers as B
 from causalake.streaming import jobs as J
 from causalake.streaming import runs
 from tests.conftest import rows
@@ -77,3 +78,20 @@ def test_stream_equals_table(spark, sf, tmp_path):
     want = J.transitions(events, Y.PATIENCE)
     assert want.where("finding = 'stale'").count() > 0 and want.where("finding = 'illegal'").count() > 0 and want.where("finding = 'ok'").count() > 0
     assert rows(spark.table("jobs").where(F.col("at") < end)) == rows(want.where(F.col("at") < end))
+
+
+def test_recalibrations_stream_equals_table(spark, sf, tmp_path):
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "value").withColumn("x", F.col("event_id") % 97)
+    src, n = str(tmp_path / "in"), e.count()
+    for i in range(4):
+        e.where((F.col("event_id") >= i * n // 4) & (F.col("event_id") < (i + 1) * n // 4)).coalesce(1).write.mode("append").parquet(src)
+    args = ("event_type", "event_id", "x", "value", 20)
+    told = B.recalibrations_stream(runs.stream(spark, src, e.schema), *args)
+    told.writeStream.format("memory").queryName("fits").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(100)
+    values = lambda d: {(r.key, r.n): (r.mean_x, r.mean_y, r.slope, r.intercept) for r in d.collect()}
+    want, got = values(B.recalibrations(e, *args)), values(spark.table("fits"))
+    assert want and got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-9)
+    odd = spark.createDataFrame([("k", i, 1.0, v) for i, v in enumerate([1.0, None, float("nan"), 3.0])], "key string, ord int, x double, y double")
+    assert [tuple(r) for r in B.recalibrations(odd, "key", "ord", "x", "y", 2).collect()] == [("k", 2, 1.0, 2.0, None, None)]
