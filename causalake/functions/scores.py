@@ -223,3 +223,36 @@ def stability(plddt) -> Column:
 def novelty(max_similarity) -> Column:
     """1 - the largest similarity to a known drug; 0.9 where there is none to compare."""
     return F.coalesce(1 - col(max_similarity), F.lit(0.9))
+
+
+def passes_screen(valid, sa, qed, most_sa: float = 4.0, least_qed: float = 0.3) -> Column:
+    """A valid molecule that is easy to make and drug-like enough; what is missing doesn't count against it."""
+    return F.coalesce(col(valid), F.lit(False)) & F.coalesce(col(sa) <= most_sa, F.lit(True)) & F.coalesce(col(qed) >= least_qed, F.lit(True))
+
+
+def screened_properties(mw, logp, qed, sa, n_filters) -> dict[str, Column]:
+    """Properties of a found molecule. Where the filters weren't run (null) it counts as drug-like with three filters and SA 5."""
+    ran = col(n_filters).isNotNull()
+    n = F.coalesce(col(n_filters), F.lit(3))
+    return {
+        "molecular_weight": col(mw), "logp": col(logp), "qed": F.when(ran, F.coalesce(col(qed), F.lit(0.5))).otherwise(col(qed)),
+        "sa_score": F.when(ran, F.coalesce(col(sa), F.lit(5.0))).otherwise(5.0), "n_filters_passed": n, "drug_class": F.when(n >= 3, "drug-like").otherwise("non-drug-like"),
+    }
+
+
+def report_cards(affinity, composite) -> list[Column]:
+    """Aggregates of a docking report's head; zeros without a score."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return [zero(F.min(affinity)).alias("best_affinity"), zero(F.avg(affinity)).alias("mean_affinity"), zero(F.max(composite)).alias("best_composite")]
+
+
+def objective_weights(base: dict[str, float], expected: dict, temperature: float = 1.0) -> dict[str, Column]:
+    """Weights that sum to 1: base times (1 - expected score)^temperature, so that hard objectives count more."""
+    raw = {k: F.lit(b) * (F.pow(1 - col(expected[k]), F.lit(temperature)) + 1e-6) for k, b in base.items()}
+    total = sum(raw.values(), F.lit(0.0))
+    return {k: v / total for k, v in raw.items()}
+
+
+def unscaled(x, low, high) -> Column:
+    """The inverse of scaling to 0..1."""
+    return col(x) * (col(high) - col(low)) + col(low)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import associations, systems, targets
+from . import associations, services, systems, targets
 
-QUERIES = dict(associations.Q) | dict(targets.Q) | dict(systems.Q)
-ORACLES = dict(associations.SQL) | dict(targets.SQL) | dict(systems.SQL)
+QUERIES = dict(associations.Q) | dict(targets.Q) | dict(systems.Q) | dict(services.Q)
+ORACLES = dict(associations.SQL) | dict(targets.SQL) | dict(systems.SQL) | dict(services.SQL)

@@ -74,3 +74,74 @@ def unique_molecules(rows: DataFrame, key: str = "canonical") -> DataFrame:
     """The first row of each canonical form."""
     w = Window.partitionBy(key).orderBy("ord")
     return rows.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+# Words of names and functions of druggable proteins.
+DRUGGABLE = ("receptor", "kinase", "protease", "enzyme", "channel", "transporter", "gpcr", "nuclear receptor")
+ENTRY_SCHEMA = """struct<results:array<struct<primaryAccession:string,
+ proteinDescription:struct<recommendedName:struct<fullName:struct<value:string>>>,
+ comments:array<struct<commentType:string,texts:array<struct<value:string>>,subcellularLocations:array<struct<location:struct<value:string>>>>>,
+ uniProtKBCrossReferences:array<struct<database:string,id:string,properties:array<struct<key:string,value:string>>>>>>>"""
+
+
+def protein_entries(pages: DataFrame, body: str = "body", structures: int = 10, terms: int = 20) -> DataFrame:
+    """gene, uniprot_id, protein_name, function, pdb_ids, subcellular_location, is_druggable, go_terms of landed protein searches.
+
+    pages: gene, body. The first result counts; a page without one, or that is no JSON, gives no row. Of several comments of a kind the last
+    counts. An entry with a structure is druggable, and one whose name or function holds one of the words.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    some = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    e = pages.select("gene", F.get(F.from_json(body, ENTRY_SCHEMA)["results"], F.lit(0)).alias("e")).where("e is not null")
+    notes, refs = "array<struct<commentType:string,texts:array<struct<value:string>>,subcellularLocations:array<struct<location:struct<value:string>>>>>", "array<struct<database:string,id:string,properties:array<struct<key:string,value:string>>>>"
+    e = e.withColumns({"_c": some(F.col("e.comments"), notes), "_x": some(F.col("e.uniProtKBCrossReferences"), refs), "protein_name": F.coalesce("e.proteinDescription.recommendedName.fullName.value", "gene")})
+    told = F.filter("_c", lambda c: (c["commentType"] == "FUNCTION") & (F.size(c["texts"]) > 0))
+    places = F.filter("_c", lambda c: c["commentType"] == "SUBCELLULAR LOCATION")
+    where = lambda c: F.array_join(F.filter(F.transform(c["subcellularLocations"], lambda s: s["location"]["value"]), lambda v: v != ""), "; ")
+    held = F.transform(F.filter("_x", lambda x: (x["database"] == "PDB") & x["id"].isNotNull()), lambda x: x["id"])
+    named = F.flatten(F.transform(F.filter("_x", lambda x: x["database"] == "GO"), lambda x: F.transform(F.filter(some(x["properties"], "array<struct<key:string,value:string>>"), lambda p: p["key"] == "GoTerm"), lambda p: text(p["value"]))))
+    e = e.withColumns({"function": text(F.get(F.transform(told, lambda c: c["texts"][0]["value"]), F.size(told) - 1)), "subcellular_location": text(F.get(F.transform(places, where), F.size(places) - 1)), "_pdb": held})
+    words = F.lower(F.concat_ws("\n", "protein_name", "function")).rlike("|".join(DRUGGABLE)) | (F.size("_pdb") > 0)
+    return e.select("gene", text(F.col("e.primaryAccession")).alias("uniprot_id"), "protein_name", "function", F.slice("_pdb", 1, structures).alias("pdb_ids"), "subcellular_location", words.alias("is_druggable"), F.slice(named, 1, terms).alias("go_terms"))
+
+
+def _fields(pages: DataFrame, *keep: str) -> DataFrame:
+    """Lines of two tab-separated fields or more, in order: keep, line, a, b."""
+    rows = pages.select(*keep, F.posexplode(F.split(F.trim(F.coalesce("body", F.lit(""))), "\n")).alias("line", "t")).withColumn("p", F.split("t", "\t"))
+    return rows.where(F.size("p") > 1).select(*keep, "line", F.trim(F.col("p")[0]).alias("a"), F.col("p")[1].alias("b"))
+
+
+def exact_symbols(pages: DataFrame) -> DataFrame:
+    """gene_id of each symbol: the first human hit whose own symbol is the one asked for, in either case.
+
+    pages: symbol, body, lines `hsa:1234<tab>SYMBOL, OTHER; description`. Hits that hold the symbol among other names or in the
+    description don't count; a symbol without an exact hit gives no row.
+    """
+    first = F.trim(F.regexp_extract("b", "^([^,;]*)", 1))
+    rows = _fields(pages.select("symbol", "body").distinct(), "symbol").where(F.col("a").startswith("hsa:") & (F.upper(first) == F.upper("symbol")))
+    return rows.groupBy("symbol").agg(F.min_by("a", "line").alias("gene_id"))
+
+
+def symbol_pathways(asked: DataFrame, hits: DataFrame, links: DataFrame, names: DataFrame | None = None, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Pathway nodes and gene-to-pathway edges of each graph's symbols.
+
+    asked: graph_id, ord, symbol; hits: symbol, body; links: gene_id, body (`hsa:1<tab>path:hsa1`); names: pathway, body with a NAME line. Genes
+    are taken by ord until a graph has `most` pathways: a gene begun before is taken whole, so there can be a few more.
+    """
+    found = _fields(links, "gene_id").select("gene_id", "line", F.trim("b").alias("pathway")).where(F.col("pathway").startswith("path:hsa"))
+    rows = asked.join(exact_symbols(hits), "symbol").join(found, "gene_id")
+    firsts = rows.groupBy("graph_id", "pathway").agg(F.min("ord").alias("ord")).groupBy("graph_id", "ord").agg(F.count("*").alias("_new"))
+    # One row for each gene that brings a pathway: the running sum is over a graph's genes, not its links.
+    before = F.coalesce(F.sum("_new").over(Window.partitionBy("graph_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = firsts.withColumn("_b", before).where(F.col("_b") < most).groupBy("graph_id").agg(F.max("ord").alias("_last"), F.max(F.col("_b") + F.col("_new")).alias("_all"))
+    rows = rows.join(last, "graph_id").where((F.col("ord") <= F.col("_last")) | (F.col("_all") < most))
+    edges = rows.select("graph_id", F.concat(F.lit("gene:"), "symbol").alias("source_id"), F.concat(F.lit("pathway:"), "pathway").alias("target_id"), F.lit("participates_in").alias("edge_type"), F.lit(0.8).alias("weight"), F.lit("KEGG").alias("source_db"))
+    nodes = rows.select("graph_id", "pathway").distinct()
+    if names is not None:
+        line = F.get(F.filter(F.split("body", "\n"), lambda x: x.startswith("NAME")), F.lit(0))
+        said = names.select("pathway", F.trim(F.substring_index(F.trim(F.substring(line, 13, 1 << 30)), " - ", 1)).alias("_name"))
+        nodes = nodes.join(said, "pathway", "left")
+    else:
+        nodes = nodes.withColumn("_name", F.lit(None).cast("string"))
+    name = F.coalesce(F.nullif("_name", F.lit("")), "pathway")
+    return nodes.select("graph_id", F.concat(F.lit("pathway:"), "pathway").alias("node_id"), name.alias("name"), F.lit("pathway").alias("node_type"), F.lit("KEGG").alias("source"), F.lit(0.8).alias("score"), F.create_map(F.lit("kegg_id"), "pathway").alias("metadata")), edges
