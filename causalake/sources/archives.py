@@ -21,6 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't i
 
 GZIP, XZ = b"\x1f\x8b", b"\xfd7zXZ\x00"
 CHUNK = 1 << 20
+BATCH = 10_000
 NAME = "archive_lines"
 
 
@@ -259,13 +260,28 @@ class ArchiveReader(DataSourceReader):
             out += [Span(path, kind, i, a, min(a + self.bytes, size)) for i, a in enumerate(range(0, size, self.bytes))]
         return out or [Span("", "none", 0, 0, 0)]
 
-    def read(self, partition: Span) -> Iterator[tuple]:
+    def read(self, partition: Span) -> Iterator:
+        """Arrow batches of some thousands of lines, or of one chunk's bytes."""
+        import pyarrow as pa
+
+        def batch(first: int, held: list[bytes]) -> pa.RecordBatch:
+            n = len(held)
+            columns = [pa.array([partition.path] * n), pa.array([partition.number] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), pa.array([x.removesuffix(b"\r").decode() for x in held], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=["path", "part", "ord", "line"])
+
         if partition.kind == "none":
             return
         chunks = {"xz": _blocks, "gzip": _members, "plain": _plain}[partition.kind]
         with _opened(partition.path) as f:
-            for i, line in enumerate(whole_lines(chunks(f, partition), partition.number == 0)):
-                yield partition.path, partition.number, i, line.removesuffix(b"\r").decode()
+            first, held, size = 0, [], 0
+            for line in whole_lines(chunks(f, partition), partition.number == 0):
+                held.append(line)
+                size += len(line)
+                if len(held) >= BATCH or size >= CHUNK:
+                    yield batch(first, held)
+                    first, held, size = first + len(held), [], 0
+            if held:
+                yield batch(first, held)
 
 
 class ArchiveSource(DataSource):

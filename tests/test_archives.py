@@ -33,7 +33,7 @@ def cuts(text, n, seed):
 def reading(path, size):
     """Partition by partition without a session, as Spark would run them."""
     r = A.ArchiveReader({"path": str(path), "partition_bytes": str(size)})
-    return [x[3] for p in r.partitions() for x in r.read(p)]
+    return [x for p in r.partitions() for b in r.read(p) for x in b.column("line").to_pylist()]
 
 
 @pytest.mark.parametrize("text", TEXTS, ids=range(len(TEXTS)))
