@@ -1,8 +1,8 @@
 """Operator 1, URL filters: a blocked Bloom filter of listed canonical URLs, then an exact hash join.
 
 DataFrame functions only. A listed rule is a canonical URL prefix: a host and the start of a path. Each
-url yields the canonical prefixes that could be listed (its host and parent domains, times its path cut at
-the lengths that listed paths have). Those that the Bloom filter lets through are joined exactly with the
+url yields the canonical prefixes that could be listed (its host and parent domains of as many labels as listed hosts
+have, times its path cut at the lengths that listed paths have). Those that the Bloom filter lets through are joined exactly with the
 list, which removes the filter's false positives; the longest listed prefix decides.
 """
 
@@ -82,17 +82,18 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
     pages = pages.drop("host", "path", "rule", "verdict")
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("_host"), F.col("path").alias("_path"), F.col("verdict").alias("_verdict"))
     rules = rules.where(F.col("_host") != "").select("*", F.concat("_host", "_path").alias("_key")).dropDuplicates(["_host", "_path"])
-    listed = rules.agg(F.count("*"), F.sort_array(F.collect_set(F.length("_path")))).first()
+    depth = lambda h: F.length(h) - F.length(F.translate(h, ".", "")) + 1
+    listed = rules.agg(F.count("*"), F.sort_array(F.collect_set(F.length("_path"))), F.sort_array(F.collect_set(depth("_host")))).first()
     if not listed[0]:
         return pages.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    lengths = F.array(*(F.lit(int(x)) for x in listed[1]))
+    lengths, depths = (F.array(*(F.lit(int(x)) for x in held)) for held in listed[1:])
     blocks = 1
     while blocks < MOST_BLOCKS and blocks * WORDS * 32 < listed[0] * BITS_PER_KEY:
         blocks *= 2
 
     rows = pages.select(F.struct(*pages.columns).alias("_row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # Only as many last labels as some listed host has: a host of many labels costs its length once for each such number.
+    hosts = F.transform(F.filter(depths, lambda n: n <= depth("host")), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     cuts = F.filter(lengths, lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(cuts, lambda n: F.concat(h, F.substring(F.col("path"), F.lit(1), n)))))
     # The filter's words as one constant: Spark folds the text into an array when it plans the query.
