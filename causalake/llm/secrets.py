@@ -30,9 +30,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Credential contexts of the method: a name, an optional quote, a sign (or `is`), and a value without white space;
-#: and a url's user and password.
-CONTEXT = re.compile(r"""(?<![A-Za-z])(pass(?:word|wd|phrase|code|key)?|pwd|psk|secret|token|credentials?|api[_-]?key|(?:access|private|signing|encryption|ssh)[_-]?key|auth(?:orization)?|bearer|login)(["']?\s{0,4}(?:=>|:=|[:=])\s{0,4}|\s{1,4}is\s{1,4})(["']?)([^\s"'<>]{6,})""", re.I | re.A)
-USERINFO = re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{6,})@")
+#: and a url's user (of any length, or none) and password. Blanks and tabs around a sign may be any number, line breaks a few.
+CONTEXT = re.compile(r"""(?<![A-Za-z])(pass(?:word|wd|phrase|code|key)?|pwd|psk|secret|token|credentials?|api[_-]?key|(?:access|private|signing|encryption|ssh)[_-]?key|auth(?:orization)?|bearer|login)(["']?(?:[\x20\t]+|\s{0,4})(?:=>|:=|[:=])(?:[\x20\t]+|\s{0,4})|(?:[\x20\t]+|\s{1,4})is(?:[\x20\t]+|\s{1,4}))(["']?)([^\s"'<>]{6,})""", re.I | re.A)
+USERINFO = re.compile(r"://[^\s/:@]*:([^\s/@]{6,})@")
 #: A value is a secret from this many guesses, as a power of ten.
 GUESSES = 9.0
 #: Common words of passwords, commonest first.
