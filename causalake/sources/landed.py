@@ -87,12 +87,14 @@ ENTRY_SCHEMA = """struct<results:array<struct<primaryAccession:string,
 def protein_entries(pages: DataFrame, body: str = "body", structures: int = 10, terms: int = 20) -> DataFrame:
     """gene, uniprot_id, protein_name, function, pdb_ids, subcellular_location, is_druggable, go_terms of landed protein searches.
 
-    pages: gene, body. The first result counts; a page without one, or that is no JSON, gives no row. Of several comments of a kind the last
-    counts. An entry with a structure is druggable, and one whose name or function holds one of the words.
+    pages: gene, body and, where another source tells it, druggable. The first result counts; a page without one, or that is no JSON, gives no
+    row. Of several comments of a kind the last counts. An entry with a structure is druggable, one whose name or function holds one of
+    the words, and one that the other source holds for druggable.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
     some = lambda c, kind: F.coalesce(c, F.array().cast(kind))
-    e = pages.select("gene", F.get(F.from_json(body, ENTRY_SCHEMA)["results"], F.lit(0)).alias("e")).where("e is not null")
+    told_so = F.coalesce("druggable", F.lit(False)) if "druggable" in pages.columns else F.lit(False)
+    e = pages.select("gene", told_so.alias("_told"), F.get(F.from_json(body, ENTRY_SCHEMA)["results"], F.lit(0)).alias("e")).where("e is not null")
     notes, refs = "array<struct<commentType:string,texts:array<struct<value:string>>,subcellularLocations:array<struct<location:struct<value:string>>>>>", "array<struct<database:string,id:string,properties:array<struct<key:string,value:string>>>>"
     e = e.withColumns({"_c": some(F.col("e.comments"), notes), "_x": some(F.col("e.uniProtKBCrossReferences"), refs), "protein_name": F.coalesce("e.proteinDescription.recommendedName.fullName.value", "gene")})
     told = F.filter("_c", lambda c: (c["commentType"] == "FUNCTION") & (F.size(c["texts"]) > 0))
@@ -101,7 +103,7 @@ def protein_entries(pages: DataFrame, body: str = "body", structures: int = 10,
     held = F.transform(F.filter("_x", lambda x: (x["database"] == "PDB") & x["id"].isNotNull()), lambda x: x["id"])
     named = F.flatten(F.transform(F.filter("_x", lambda x: x["database"] == "GO"), lambda x: F.transform(F.filter(some(x["properties"], "array<struct<key:string,value:string>>"), lambda p: p["key"] == "GoTerm"), lambda p: text(p["value"]))))
     e = e.withColumns({"function": text(F.get(F.transform(told, lambda c: c["texts"][0]["value"]), F.size(told) - 1)), "subcellular_location": text(F.get(F.transform(places, where), F.size(places) - 1)), "_pdb": held})
-    words = F.lower(F.concat_ws("\n", "protein_name", "function")).rlike("|".join(DRUGGABLE)) | (F.size("_pdb") > 0)
+    words = F.lower(F.concat_ws("\n", "protein_name", "function")).rlike("|".join(DRUGGABLE)) | (F.size("_pdb") > 0) | F.col("_told")
     return e.select("gene", text(F.col("e.primaryAccession")).alias("uniprot_id"), "protein_name", "function", F.slice("_pdb", 1, structures).alias("pdb_ids"), "subcellular_location", words.alias("is_druggable"), F.slice(named, 1, terms).alias("go_terms"))
 
 
