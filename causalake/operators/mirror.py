@@ -41,6 +41,16 @@ def residues(rows: DataFrame, key: str = "id", sequence: str = "sequence", mirro
     return r.select(key, (F.col("p") + 1).alias("position"), "residue", F.lit("D" if mirror else "L").alias("chirality"), F.coalesce(s, F.lit("")).alias("smiles"), s.isNotNull().alias("valid"))
 
 
+def residue_forms(rows: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """residue, n, smiles, mirrored: how often each letter stands in the sequences, and its two forms ('' if unknown).
+
+    A form depends on the letter alone, so letters are counted first and never joined by position.
+    """
+    letters = rows.select(F.explode(F.split(F.upper(sequence), "")).alias("residue")).where("residue <> ''")
+    form = lambda mirror: F.coalesce(residue_smiles("residue", mirror), F.lit(""))
+    return letters.groupBy("residue").agg(F.count("*").alias("n")).select("residue", "n", form(False).alias("smiles"), form(True).alias("mirrored"))
+
+
 def protease_resistance(chirality) -> Column:
     return F.when(col(chirality) == "D", "Very High").otherwise("Normal (susceptible to natural proteases)")
 

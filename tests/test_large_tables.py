@@ -26,3 +26,8 @@ def test_entries_without_structures(spark, sf, tmp_path):
     folder, c = given(spark, tmp_path, sf, lineitem="select * from lineitem where l_partkey % 2 = 0")
     assert c.sql("select count(*) from part where p_partkey % 2 = 1 and p_size % 4 <> 0 and p_size % 5 = 0 and p_size % 7 <> 0").fetchall()[0][0]
     same(spark, folder, c, "protein_entries")
+
+
+def test_residues_of_repeated_parts(spark, sf, tmp_path):
+    folder, c = given(spark, tmp_path, sf, part="select * from part union all select * from part where p_partkey < 50")
+    same(spark, folder, c, "residue_forms")
