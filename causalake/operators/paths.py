@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
+from .blocks import reached
 
 KEYS = ["graph_id", "treatment", "excluded"]
 
@@ -82,7 +83,8 @@ def path_strength(edges: DataFrame, pairs: DataFrame, most: int | None = None) -
 
 
 def reachable(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
-    return shortest_paths(edges, starts, most).select("graph_id", "treatment", "node", "hops")
+    """graph_id, treatment, node, hops: as shortest_paths, without the paths, by blocks of nodes."""
+    return reached(edges, starts.select("graph_id", F.col("treatment").alias("start")), most).withColumnRenamed("start", "treatment")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
