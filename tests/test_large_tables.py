@@ -10,9 +10,11 @@ import pytest
 
 from causalake.functions import proteins as FP
 from causalake.operators import causal as C
+from causalake.operators import molecules as M
 from causalake.operators import paths as PA
 from causalake.plans import catalog
 from tests.conftest import rows, sql_rows
+from tests.test_nearest_drugs import brute, words
 
 
 def given(spark, folder, source, **tables):
@@ -117,3 +119,13 @@ def test_isoelectric_points_of_arrays(spark):
     assert got.pop(-1) is None and all(got[i] == pytest.approx(by_hand(s), abs=0.0101) for i, s in enumerate(given_))
     # No expression is walked 40 times a row.
     assert "aggregate(" not in df._jdf.queryExecution().toString() and sum(got[i] == by_hand(s) for i, s in enumerate(given_)) > 295
+
+
+def test_nearest_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(M, "TILE", 40)
+    monkeypatch.setattr(M, "ASKED", 7)
+    r = random.Random(2)
+    held = [(i, words(r.sample(range(128), r.randrange(60)), 2)) for i in range(150)]
+    df = spark.createDataFrame(held, "id long, fp array<long>")
+    got = {(x.query_id, x["rank"]): (x.reference_id, x.similarity) for x in M.nearest(df.where("id % 8 = 0"), df, 4).collect()}
+    assert got == brute([h for h in held if h[0] % 8 == 0], held, 4)
