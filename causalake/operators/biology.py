@@ -80,7 +80,7 @@ def tissue_gate(genes: DataFrame, expression: DataFrame, relevant: DataFrame, sy
     s = synonyms.select(F.lower("tissue").alias("_t"), F.lower("canonical").alias("_c")).dropDuplicates(["_t"])
 
     def canonical(rows: DataFrame, key: str, name: str) -> DataFrame:
-        r = rows.withColumn("_t", F.lower(F.trim("tissue"))).join(s, "_t", "left")
+        r = rows.select(key, F.lower(F.trim("tissue")).alias("_t")).distinct().join(s, "_t", "left")
         return r.groupBy(key).agg(F.array_sort(F.collect_set(F.coalesce("_c", "_t"))).alias(name))
 
     rows = genes.join(canonical(expression, "gene", "_g"), "gene", "left").join(canonical(relevant, "disease_id", "_d"), "disease_id", "left")

@@ -82,6 +82,17 @@ def datatype_scores(assoc: DataFrame) -> DataFrame:
     return best.groupBy("disease_id", "target_symbol").agg(F.min("target_id").alias("target_id"), held.alias("datatype_scores"))
 
 
+def best_scores(assoc: DataFrame) -> DataFrame:
+    """disease_id, target_symbol, datatype with their largest score: all that snapshot_graph reads of a release."""
+    return assoc.groupBy("disease_id", "target_symbol", "datatype").agg(F.max("score").alias("score"))
+
+
+def score_maps(assoc: DataFrame) -> DataFrame:
+    """disease_id, target_symbol and a map of the largest positive score by datatype."""
+    held = F.map_from_entries(F.array_sort(F.collect_list(F.struct("datatype", "score"))))
+    return best_scores(assoc.where("score > 0")).groupBy("disease_id", "target_symbol").agg(held.alias("datatype_scores"))
+
+
 def evidence_class(scores) -> Column:
     """The strongest class of evidence in a map of datatype scores, or an empty string."""
     m = F.col(scores) if isinstance(scores, str) else scores
@@ -91,7 +102,7 @@ def evidence_class(scores) -> Column:
 
 def snapshot_graph(assoc: DataFrame, n: int = 25) -> tuple[DataFrame, DataFrame]:
     """Nodes and association edges of every disease from a release."""
-    top = top_genetic_targets(assoc, n).join(datatype_scores(assoc), ["disease_id", "target_symbol"])
+    top = top_genetic_targets(assoc, n).join(score_maps(assoc), ["disease_id", "target_symbol"])
     node = F.concat(F.lit("gene:"), F.col("target_symbol"))
     nodes = top.select(F.col("disease_id").alias("graph_id"), node.alias("node_id"), F.col("target_symbol").alias("name"), F.lit("gene").alias("node_type"), F.lit("Open Targets").alias("source"), "score", "n_associated_diseases", "datatype_scores", match_key(node).alias("key"))
     edges = top.select(F.col("disease_id").alias("graph_id"), node.alias("source_id"), F.concat(F.lit("disease:"), F.regexp_replace(F.lower("disease_id"), " ", "_")).alias("target_id"), F.lit("associated_with").alias("edge_type"), F.col("score").alias("weight"), F.lit("Open Targets").alias("source_db"), evidence_class("datatype_scores").alias("evidence_class"))

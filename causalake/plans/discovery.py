@@ -17,16 +17,22 @@ from ..runtime import cut
 
 
 def disease_graphs(assoc: DataFrame, interactions: DataFrame, genes: int = 25) -> tuple[DataFrame, DataFrame]:
-    """Nodes and resolved edges of every disease: its best genetic targets, their association and regulatory edges."""
-    nodes, toward = A.snapshot_graph(assoc, genes)
-    known = nodes.select("graph_id", F.col("name").alias("symbol"))
-    regulatory = G.interaction_edges(interactions, known).withColumn("ord", F.concat_ws("|", F.lit("1"), "source_id", "target_id", "edge_type"))
+    """Nodes and resolved edges of every disease: its best genetic targets, their association and regulatory edges.
+
+    Each input is read once: associations for the best score of each target and datatype, interactions (with ord, their order of
+    arrival) for the first of each pair and sign. Graphs are made of these.
+    """
+    nodes, toward = A.snapshot_graph(cut(A.best_scores(assoc), "best-scores"), genes)
+    disease = nodes.groupBy("graph_id").agg(F.first(F.concat(F.lit("disease:"), F.regexp_replace(F.lower("graph_id"), " ", "_"))).alias("node_id"))
+    disease = disease.select("graph_id", "node_id", F.col("graph_id").alias("name"), F.lit("disease").alias("node_type"), F.lit("").alias("source"), F.lit(1.0).alias("score"))
+    nodes = cut(nodes.unionByName(disease, allowMissingColumns=True).drop("datatype_scores"), "graph-nodes")
+    known = nodes.where("node_type = 'gene'").select("graph_id", F.col("name").alias("symbol"))
+    regulatory = G.interaction_edges(G.first_interactions(interactions, known), known)
+    regulatory = regulatory.withColumn("ord", F.concat_ws("|", F.lit("1"), "source_id", "target_id", "edge_type"))
     none = F.array().cast("array<string>")
     toward = toward.withColumn("ord", F.concat_ws("|", F.lit("0"), "source_id")).withColumn("sign", F.lit(0)).withColumn("primary_sources", none).withColumn("pmids", none)
     edges = G.resolve_collisions(G.dedup_edges(toward.unionByName(regulatory)))
-    disease = nodes.groupBy("graph_id").agg(F.first(F.concat(F.lit("disease:"), F.regexp_replace(F.lower("graph_id"), " ", "_"))).alias("node_id"))
-    disease = disease.select("graph_id", "node_id", F.col("graph_id").alias("name"), F.lit("disease").alias("node_type"), F.lit("").alias("source"), F.lit(1.0).alias("score"))
-    return cut(nodes.unionByName(disease, allowMissingColumns=True).drop("datatype_scores"), "graph-nodes"), cut(edges, "graph-edges")
+    return nodes, cut(edges, "graph-edges")
 
 
 #: What holds for a target of which facts say nothing.
