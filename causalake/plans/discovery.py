@@ -47,7 +47,8 @@ def ranked_targets(nodes: DataFrame, edges: DataFrame, n: int = 10, hops: int |
     disease = nodes.where("node_type = 'disease'").select("graph_id", F.col("node_id").alias("outcome"))
     pairs = nodes.where("node_type = 'gene'").join(disease, "graph_id").select("graph_id", F.col("node_id").alias("treatment"), "outcome", "score", "n_associated_diseases", "name", "source")
     keys = ["graph_id", "treatment", "outcome"]
-    verdict = C.identification(edges, nodes, pairs)
+    # The whole search: sets of any size, of all nodes that a treatment doesn't reach.
+    verdict = C.identification(edges, nodes, pairs, most=None, pool=None)
     strength = PA.path_strength(edges, pairs.select(*keys), hops).select(*keys, "path_strength")
     robust = E.robustness(edges, pairs.select(*keys, "score"), hops).select(*keys, "robustness")
     between = CO.betweenness(edges).withColumnRenamed("node_id", "treatment")
